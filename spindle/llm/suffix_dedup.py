@@ -14,8 +14,8 @@ from spindle.llm.spans import Plan, marked, merged, repeated_spans, roots
 PLAN = Plan(length=200, gram=64, unit="byte", fans=(12, 12))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = PLAN, scratch: Scratch | None = None) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept (binary), spans, row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = PLAN, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept (binary), spans, row, and the columns ``carry``.
 
     Every byte covered by a ``plan.length``-byte string that also starts anywhere else is removed. Buckets of
     sampled suffixes start as q-grams and are refined by sorting on the bucket identifiers of later offsets; a
@@ -28,7 +28,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     texts = scratch.bucketed(texts, "row", parts(spark), "texts")
     nodes = scratch.save(roots(texts, plan), "nodes")
     spans = repeated_spans(nodes, texts, plan, scratch, earlier=False)
@@ -54,9 +54,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for column, value in zip(out, (len(data), sum(e - s for s, e in runs), len(runs), b"".join(kept), [{"start": s, "end": e} for s, e in runs])):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, out, kinds), batch.column(0)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, out, kinds), *batch.columns[4:], batch.column(0)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans", *carry, "row"])
 
-    return marked(texts, spans).select("row", "id", "text", "spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>, row long")
+    more = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    return marked(texts, spans).select("row", "id", "text", "spans", *carry).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>, {more}row long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
