@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spindle.llm.bits import outside
 from spindle.llm.jaccard_join import near_duplicates
@@ -45,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select("doc_id", _whole_characters(F.col("kept")).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _whole_characters(kept):
     return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
