@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.scratch import Scratch
+from spindle.llm.scratch import Scratch, parts
+
+#: Rows that a partition of edges or labels should have at least: small graphs take few tasks.
+ROWS = 20_000
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFrame:
@@ -16,13 +19,14 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
     round is written out, so no lineage grows; a hub's edges meet only partial minima.
     """
     both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    few = min(parts(both.sparkSession), 4 + both.count() // ROWS)
+    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")).coalesce(few), "labels")
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         hooked = labels.join(around, "id").select("id", "component", F.least("component", "near").alias("next"))
         up = labels.select(F.col("id").alias("next"), F.col("component").alias("top"))
         jumped = hooked.join(up, "next", "left").select("id", F.least("next", F.coalesce("top", "next")).alias("component"), (F.least("next", F.coalesce("top", "next")) < F.col("component")).cast("int").alias("moved"))
-        new = scratch.save(jumped, "labels")
+        new = scratch.save(jumped.coalesce(few), "labels")
         moved = new.agg(F.max("moved")).first()[0]
         scratch.drop(labels)
         labels = new

@@ -278,9 +278,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = shared
         if labels is not None:
             members = members.join(labels.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-            mixed = members.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
             members = scratch.save(members, "members")
-            members = scratch.save(members.join(scratch.save(mixed, "mixed"), "token", "left_semi"), "members")
+            mixed = members.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+            mixed = scratch.save(mixed, "mixed")
+            if mixed.isEmpty():  # every group is within one component
+                break
+            members = scratch.save(members.join(mixed, "token", "left_semi"), "members")
         else:
             members = members.withColumn("c", F.col("k"))
         x = members.select("token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "c")])
@@ -301,7 +304,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = scratch.save(_verified(pairs, sets, percent), "found")
         links = found if links is None else links.union(found)
         seen = pairs if seen is None else seen.union(pairs)
-        labels = components(links, scratch)
+        if labels is None or not found.isEmpty():
+            labels = components(links, scratch)
     least = keys.join(labels.withColumnRenamed("id", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = scratch.save(least, "least")
     tops = scratch.save(least.groupBy("component").agg(F.min("id").alias("component_id")), "tops")
