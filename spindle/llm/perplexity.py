@@ -24,6 +24,8 @@ SHARD = 1 << 20
 #: Share of a language's held-out trusted documents above its threshold.
 MISS = 0.003
 SLICES = 16
+#: Documents whose pairs a task holds at once (their numbers take 16 bits at most).
+BLOCK = 4096
 
 
 def bigrams(column):
@@ -106,7 +108,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     def count(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(low, BLOCK) for b in batches for low in range(0, b.num_rows, BLOCK)):
             keys = [k for _, _, k in bigrams(batch.column(0))]
             keys, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
             found = list(_split(keys, shards, n.astype(np.uint32)))
@@ -143,13 +145,14 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     def marks(batches):
         import pyarrow as pa
 
-        bits = np.zeros(1 << SEEN_BITS, bool)
+        packed = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
         tallies = np.zeros(5, np.int64)
         for batch in batches:
             for k, c in zip(batch.column(0), batch.column(1)):
-                bits[_place(_unpack(k.as_buffer()))] = True
+                at = _place(_unpack(k.as_buffer()))
+                np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
                 tallies += np.bincount(np.minimum(np.frombuffer(c.as_buffer(), np.uint32), 5), minlength=6)[:5]
-        packed = np.packbits(bits).reshape(SLICES, -1)
+        packed = packed.reshape(SLICES, -1)
         some = [i for i in range(SLICES) if packed[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*(packed[i].tobytes() for i in some), tallies.tobytes()], pa.binary())], names=["slice", "keys"])
 
@@ -195,8 +198,8 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
             block = batch.column(0)[0].as_py() if batch.num_rows else None
             if block is None:
                 continue
-            for low in range(0, batch.num_rows, 1 << 16):
-                part = batch.slice(low, 1 << 16)
+            for low in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(low, BLOCK)
                 sums, sizes = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
                 keys, docs_at = [], []
                 for i, ids, pair in bigrams(part.column(1)):
