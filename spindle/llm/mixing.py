@@ -46,11 +46,12 @@ def mix_sources(docs: DataFrame, seed: str = "mix", scratch: Scratch | None = No
     doc_id), ranked within their partition, and shifted by the counts of the partitions before.
 
     Null texts have size 0; null sources form one source; rows with equal keys are interchangeable; repeated
-    ids are separate documents; an empty table gives an empty one. Reruns on the same rows agree.
+    ids are separate documents; an empty table gives an empty one; columns named like the results give way to
+    them. Reruns on the same rows agree.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
-    return _mixed(spark, docs.withColumn("size", size_of()), seed, scratch)
+    return _mixed(spark, docs.drop("source_size", "target", "copies").withColumn("size", size_of()), seed, scratch)
 
 
 def _mixed(spark: SparkSession, sized: DataFrame, seed: str, scratch: Scratch) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from spindle.llm.scratch import Scratch, parts
 from spindle.llm.spans import Plan, marked, merged, repeated_spans, roots
 
-#: Fingerprints of 12-word grams chosen in each 50-word window, then single windows.
-PLAN = Plan(length=50, gram=12, unit="word", fans=(39,))
+#: Fingerprints of 12-word grams chosen in each 50-word window, then 6 offsets at once, then single windows.
+PLAN = Plan(length=50, gram=12, unit="word", fans=(7, 6))
 #: Runs that may stand side by side before they are compacted into one.
 RUNS = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
