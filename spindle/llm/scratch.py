@@ -48,8 +48,14 @@ class Scratch:
         out = self.spark.table(table)
         out._spindle_path = path
         self.tables[path] = table
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         """Removes what ``save`` or ``bucketed`` wrote, once nothing lazy reads it any more."""
         for df in dfs:
