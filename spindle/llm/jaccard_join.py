@@ -17,6 +17,11 @@ CELLS = 64
 #: Prefix entries that one task sorts.
 SHARD = 1 << 21
 SHINGLE = 5
+#: Pivot rounds at most before the join of what is left, pivots of a group in a round after the first, and pairs
+#: for each member of an unsettled group up to which that join comes at once. They change the cost, not the result.
+ROUNDS = 6
+PIVOTS = 6
+FEW = 8
 
 
 def shingle_sets(column, width: int = SHINGLE):
@@ -248,15 +253,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side("b", "shingles"), "b").join(side("a", "shingles"), "a").select("a", "b", "a_shingles", "b_shingles").mapInArrow(exact, "a long, b long")
 
 
+def _merged(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (k, c) after the links found (a, b): only one edge for each two components enters the graph."""
+    if found.isEmpty():
+        return labels
+    end = lambda n: labels.select(F.col("k").alias(n), F.col("c").alias(f"{n}c"))
+    edges = found.join(end("a"), "a").join(end("b"), "b").select(F.least("ac", "bc").alias("a"), F.greatest("ac", "bc").alias("b")).distinct()
+    roots = components(scratch.save(edges, "between"), scratch)
+    return scratch.save(labels.join(roots.withColumnRenamed("id", "c"), "c", "left").select("k", F.coalesce("component", "c").alias("c")), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
     """Per row: id, n_shingles, component_id (least id reachable by links of Jaccard similarity >= percent / 100).
 
     Equal sets are one vertex. Each set's shingles are ordered rarest first by corpus frequency, and the prefix
     that any similar set must meet is indexed; sets that share a prefix shingle and pass the length, positional
-    and suffix filters are compared once. What is wanted is connectivity, so in a group of sets with the same
-    shingle two rounds first compare all with one pivot, and only members that are then still in different
-    components are joined with each other: a group of near copies costs its size, not its square, and no
-    link between components is lost.
+    and suffix filters are compared once. What is wanted is connectivity, so groups of sets with the same shingle
+    first compare their members with a few pivots, round by round, while that still settles many; then every
+    member outside its group's largest component is joined with all others of the group that are not yet in its
+    component. A group of near copies costs its size, not its square, and no link between components is lost.
 
     Null and empty texts have no shingles and are their own component; rows with equal ids are separate rows; a
     null id gives a null component unless a copy has an id; extra columns are ignored.
@@ -273,39 +288,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = scratch.save(shared.select("k").distinct().join(keys, "k"), "wanted")
     sets = scratch.save(_sets_of(docs, wanted, scratch, id_col, text_col, width), "sets")
 
-    links, seen, labels = None, None, None
-    for turn in range(3):
-        members = shared
-        if labels is not None:
-            members = members.join(labels.withColumnRenamed("id", "k"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    labels, seen, cost = scratch.save(wanted.select("k", F.col("k").alias("c")), "labels"), None, None
+    for turn in range(ROUNDS + 1):
+        members = shared.join(labels, "k")
+        last = False
+        if turn:
+            # in each group the largest component is settled; only the others' members need partners
             members = scratch.save(members, "members")
-            mixed = members.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-            mixed = scratch.save(mixed, "mixed")
-            if mixed.isEmpty():  # every group is within one component
+            sizes = members.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
+            groups = sizes.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"))
+            tops = scratch.save(groups.filter("top.m < m").select("token", F.col("top.c").alias("top"), "m", (F.col("m") - F.col("top.m")).alias("others")), "tops")
+            left, rows_left = tops.agg(F.sum(F.col("m").cast("double") * F.col("others")), F.sum("m")).first()
+            if left is None:  # every group is within one component
                 break
-            members = scratch.save(members.join(mixed, "token", "left_semi"), "members")
-        else:
-            members = members.withColumn("c", F.col("k"))
-        x = members.select("token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "c")])
-        if turn < 2:
-            pivot = members.groupBy("token").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "pos", "c")).alias("y"))
-            y = scratch.save(pivot, "pivot").select("token", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("k", "n", "pos", "c")])
+            last = turn == ROUNDS or left <= FEW * rows_left or (cost is not None and left > 0.8 * cost)
+            cost = left
+            members = scratch.save(members.join(tops.select("token", "top"), "token"), "mixed")
+        x = members if turn == 0 else members.filter("c <> top")
+        x = x.select("token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "c")])
+        if last:
+            y = members
         else:
-            y = members.select("token", *[F.col(c).alias(f"y_{c}") for c in ("k", "n", "pos", "c")])
+            # the member with the fewest rarer shingles is the closest to what the group shares
+            by = [F.col("pos")] if turn == 0 else []
+            by += [F.xxhash64("k", F.lit(f"{turn} {i}")) for i in range(1 if turn == 0 else PIVOTS)]
+            mins = members.groupBy("token").agg(*[F.min(F.struct(h.alias("h"), "k", "n", "pos", "c")).alias(f"p{i}") for i, h in enumerate(by)])
+            bare = [F.struct(*[F.col(f"p{i}")[c].alias(c) for c in ("k", "n", "pos", "c")]) for i in range(len(by))]
+            y = scratch.save(mins.select("token", F.explode(F.array_distinct(F.array(*bare))).alias("y")), "pivots").select("token", "y.*")
+            if turn:
+                x = members.select("token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "c")])
+        y = y.select("token", *[F.col(c).alias(f"y_{c}") for c in ("k", "n", "pos", "c")])
         low, high = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
         most = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
         pairs = x.join(y, "token").filter((F.col("x_c") != F.col("y_c")) & (100 * low >= percent * high) & ((100 + percent) * most >= percent * (low + high)))
-        if turn == 2:
-            pairs = pairs.filter(F.col("x_k") < F.col("y_k"))
         pairs = pairs.select(F.least("x_k", "y_k").alias("a"), F.greatest("x_k", "y_k").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
         found = scratch.save(_verified(pairs, sets, percent), "found")
-        links = found if links is None else links.union(found)
         seen = pairs if seen is None else seen.union(pairs)
-        if labels is None or not found.isEmpty():
-            labels = components(links, scratch)
+        labels = _merged(labels, found, scratch)
+        if last:
+            break
+    labels = labels.select(F.col("k").alias("id"), F.col("c").alias("component"))
     least = keys.join(labels.withColumnRenamed("id", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = scratch.save(least, "least")
     tops = scratch.save(least.groupBy("component").agg(F.min("id").alias("component_id")), "tops")
