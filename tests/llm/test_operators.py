@@ -153,6 +153,16 @@ def test_jaccard_join(spark, docs):
     assert got == sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(rows))
 
 
+def test_jaccard_join_settles_a_hot_group_with_stragglers(spark):
+    dice, texts = random.Random(5), []
+    for _ in range(120):
+        w = [f"w{i}" for i in range(150)]
+        for _ in range(dice.choice([1, 2, 3, 3, 4, 5, 6])):
+            w[dice.randrange(150)] = f"x{dice.randrange(10**6)}"
+        texts.append(" ".join(w))
+    test_jaccard_join(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
