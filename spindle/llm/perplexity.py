@@ -11,36 +11,67 @@ from pyspark.sql import functions as F
 from spindle.llm.bits import among
 from spindle.llm.scratch import Scratch
 
-#: Context and continuation statistics are kept by 18 hash bits of the word: tables of a fixed size. Bigram counts
-#: are kept exactly, by both words' bits and 12 more of the pair, in shards.
-WORD_BITS = 18
-PAIR_BITS = 12
-#: Bits of the table that tells which bigrams can be in the model at all (16 MB); it only saves look-ups.
+#: Words are known by their whole 64-bit hash and a pair of words by both hashes; nothing else is mixed in.
+WORD_BITS = 64
+PAIR_BITS = 0
+#: Bits of the table that tells which keys can be in the model at all (16 MB); it only saves look-ups.
 SEEN_BITS = 27
+#: Words and entries of the model, the most frequent ones, that each task holds too; they only save look-ups.
+COMMON = 1 << 18
 #: Bigrams seen less often are left to the lower order (their mass with them).
 CUT = 2
-#: Bigrams of one shard of the model, which one task holds.
+#: Entries of one shard of the model, which one task holds.
 SHARD = 1 << 20
 #: Share of a language's held-out trusted documents above its threshold.
 MISS = 0.003
 SLICES = 16
 #: Documents whose pairs a task holds at once (their numbers take 16 bits at most).
-BLOCK = 4096
+BLOCK = 1024
 
 
-def bigrams(column):
-    """Yields (row, word ids, pair keys) of each text; key i is for words i and i + 1."""
-    from spindle.llm.kernel import chunks, mix, words
+class Pairs:
+    """Neighbouring words; as a list, whole numbers of both words' bits."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = first, second
+
+    def tolist(self) -> list[int]:
+        return [(a << (WORD_BITS + PAIR_BITS)) | (b << PAIR_BITS) for a, b in zip(self.first.tolist(), self.second.tolist())]
+
+
+def _pieces(column):
+    """Yields (first row, word hashes, words before each text) of pieces of a column."""
+    from spindle.llm.kernel import chunks, words
 
-    u = np.uint64
     for row, data, starts, ends in chunks(column):
         h, _, _, before = words(data, starts, ends)
-        ids = h >> u(64 - WORD_BITS)
-        tail = mix(h[:-1] * u(0x9E3779B97F4A7C15) + h[1:]) >> u(64 - PAIR_BITS)
-        keys = (ids[:-1] << u(WORD_BITS + PAIR_BITS)) | (ids[1:] << u(PAIR_BITS)) | tail
-        for i in range(len(starts)):
-            a, b = before[i], before[i + 1]
-            yield row + i, ids[a:b], keys[a : max(a, b - 1)]
+        yield row, h, before
+
+
+def bigrams(column):
+    """Yields (row, word hashes, pairs) of each text; pair i is of words i and i + 1."""
+    for row, h, before in _pieces(column):
+        for i in range(len(before) - 1):
+            ids = h[before[i] : before[i + 1]]
+            yield row + i, ids, Pairs(ids[:-1], ids[1:])
+
+
+def _within(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each word, and the words whose next word is in the same text."""
+    text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    return text, np.flatnonzero(text[1:] == text[:-1])
+
+
+def _context_key(h: np.ndarray) -> np.ndarray:
+    from spindle.llm.kernel import mix
+
+    return mix(h + np.uint64(0x2545F4914F6CDD1D))
+
+
+def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    from spindle.llm.kernel import mix
+
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -62,9 +93,9 @@ def _unpack(data) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
-def _split(keys: np.ndarray, shards: int, *more: np.ndarray):
-    """Yields (shard, sorted keys, the others in the same order)."""
-    shard = _shards(keys, shards)
+def _split(keys: np.ndarray, shards: int, *more: np.ndarray, by: np.ndarray | None = None):
+    """Yields (shard, sorted keys, the others in the same order); shards are dealt by ``by`` or else the keys."""
+    shard = _shards(keys if by is None else by, shards)
     order = np.lexsort((keys, shard))
     shard, keys, more = shard[order], keys[order], [m[order] for m in more]
     edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
@@ -72,128 +103,205 @@ def _split(keys: np.ndarray, shards: int, *more: np.ndarray):
         yield int(shard[a]), keys[a:b], [m[a:b] for m in more]
 
 
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with the sum of their counts."""
+    if not len(a):
+        return a, b, np.zeros(0, np.int64)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    n = np.diff(np.append(edge, len(a))) if n is None else np.add.reduceat(n[order], edge)
+    return a[edge], b[edge], n
+
+
+class _Held:
+    """A number for each of some words, by word or array of words; ``other`` for all others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, other: float):
+        self.keys, self.values, self.other = keys, values, other
+
+    def __getitem__(self, h):
+        h = np.asarray(h, np.uint64)
+        if not len(self.keys):
+            return np.full(h.shape, self.other)[()]
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.values[at], self.other)[()]
+
+
 class Tables:
-    """Discounts and lower-order tables of the model; fixed size."""
+    """Discounts, the score of an unknown word, and what each task holds of the common words and entries."""
 
-    def __init__(self, continuation, total, ones, twos, more, counts):
-        n1, n2, n3, n4 = (max(float(c), 0.0) for c in counts)
+    def __init__(self, counts):
+        n1, n2, n3, n4 = (max(float(c or 0), 0.0) for c in counts)
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         rate = lambda k, a, b: min(max(k - (k + 1) * y * b / a, 0.0), k) if a else k / 2
         self.discount = np.array([0.0, rate(1, n1, n2), rate(2, n2, n3), rate(3, n3, n4)])
-        self.total = total.astype(np.float64)
-        # what the kept bigrams of a context leave over; the cut ones leave all of theirs
-        left = (ones if CUT > 1 else ones * self.discount[1]) + twos * self.discount[2] + more * self.discount[3]
-        self.back = np.where(self.total > 0, left / np.maximum(self.total, 1), 1.0)
-        size, kinds, all_ = len(continuation), np.count_nonzero(continuation), max(float(continuation.sum()), 1.0)
-        d = 0.75
-        self.lower = (np.maximum(continuation - d, 0) + (d * kinds + (kinds == 0)) / size) / all_
-        self.lower /= self.lower.sum()
 
-    def miss(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.back[first], 1e-6) * self.lower[second])
+    def hold_words(self, t, unknown: float) -> None:
+        keys, total, back, lower = (t.column(i).to_numpy() for i in range(4))
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        self.unknown = unknown
+        self.total, self.back, self.lower = (_Held(keys[order], v[order], o) for v, o in ((total, 0.0), (back, 1.0), (lower, unknown)))
 
-    def hit(self, first, second, count) -> np.ndarray:
-        own = np.maximum(count - self.discount[np.minimum(count, 3)], 0) / np.maximum(self.total[first], 1)
-        return np.log(own + np.maximum(self.back[first], 1e-6) * self.lower[second])
+    def hold_entries(self, t) -> None:
+        keys, value = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
+        order = np.argsort(keys)
+        self.entries = _Held(keys[order], value[order], np.nan)
 
 
-def _words_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = np.uint64
-    return (keys >> u(WORD_BITS + PAIR_BITS)).astype(np.int64), ((keys >> u(PAIR_BITS)) & u((1 << WORD_BITS) - 1)).astype(np.int64)
+def _common(rows: DataFrame, n: str) -> DataFrame:
+    """The rows of greatest ``n``, COMMON at most, by a histogram."""
+    step = F.floor(F.log2(n) * 4)
+    least, have = None, 0
+    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):  # 256 steps at most
+        have += r["count"]
+        if have > COMMON:
+            break
+        least = r["step"]
+    return rows.filter(F.lit(False) if least is None else step >= least)
 
 
 def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame, Tables, np.ndarray]:
-    """(shard, keys, counts) of all kept bigrams, the lower-order tables, and the table of possible bigrams."""
+    """(shard, keys, values) of all entries of the model, the tables each task holds, and that of possible keys.
+
+    A text's log probability is its number of words times that of an unknown word, plus the values of its keys in
+    the model: a word's hash (its lower-order log probability less an unknown word's), its context key (the log of
+    its back-off mass) and the key of each pair (what its own count adds to both). All grow with the text.
+    """
 
     def count(batches):
         import pyarrow as pa
 
         for batch in (b.slice(low, BLOCK) for b in batches for low in range(0, b.num_rows, BLOCK)):
-            keys = [k for _, _, k in bigrams(batch.column(0))]
-            keys, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
-            found = list(_split(keys, shards, n.astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int64()), pa.array([_pack(k) for _, k, _ in found], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found], pa.binary())], names=["shard", "keys", "counts"])
-
-    size = 1 << WORD_BITS
-    step = size // SLICES
+            first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for _, h, before in _pieces(batch.column(0)):
+                _, at = _within(before)
+                first.append(h[at])
+                second.append(h[at + 1])
+            a, b, n = _summed(np.concatenate(first), np.concatenate(second))
+            found = list(_split(a, shards, b, n.astype(np.uint32), by=_pair_key(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int64()), pa.array([_pack(k) for _, k, _ in found], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found], pa.binary()), pa.array([m[1].tobytes() for _, _, m in found], pa.binary())], names=["shard", "a", "b", "n"])
 
     def total(key, table):
         import pyarrow as pa
 
-        keys = np.concatenate([_unpack(k.as_buffer()) for k in table.column("keys")])
-        n = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in table.column("counts")]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, n = keys[edge], np.add.reduceat(n, edge)
-        first, second = _words_of(keys)
-        stats = [np.bincount(second, minlength=size), np.bincount(first, n, size), *(np.bincount(first[m], minlength=size) for m in (n == 1, n == 2, n >= 3))]
-        stats = np.stack(stats).astype(np.int64)
-        kept = n >= CUT
-        keys, n = keys[kept], n[kept]
-        rows = [{"kind": 0, "slice": key[0].as_py(), "keys": _pack(keys), "counts": np.minimum(n, 2**31).astype(np.uint32).tobytes()}]
-        some = [i for i in range(SLICES) if stats[:, i * step : (i + 1) * step].any()]
-        rows += [{"kind": 1, "slice": i, "keys": stats[:, i * step : (i + 1) * step].tobytes(), "counts": None} for i in some]
-        return pa.Table.from_pylist(rows, pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
-
-    def of_counts(key, table):
+        a = np.concatenate([_unpack(x.as_buffer()) for x in table.column("a")])
+        b, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("b", np.uint64), ("n", np.uint32)))
+        a, b, n = _summed(a, b, n.astype(np.int64))
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "n": n})
+
+    pairs = scratch.save(texts.mapInArrow(count, "shard long, a binary, b binary, n binary").groupBy("shard").applyInArrow(total, "a long, b long, n long"), "pairs")
+    tables = Tables(pairs.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first())
+    none = F.lit(0).cast("long")
+    sides = pairs.select(F.col("a").alias("w"), "n", none.alias("before")).unionByName(pairs.select(F.col("b").alias("w"), none.alias("n"), F.lit(1).cast("long").alias("before")))
+    tally = lambda when: F.sum(F.when(when, 1).otherwise(0))
+    stats = scratch.save(sides.groupBy("w").agg(F.sum("n").alias("total"), F.sum("before").alias("continuation"), tally(F.col("n") == 1).alias("ones"), tally(F.col("n") == 2).alias("twos"), tally(F.col("n") >= 3).alias("more")), "words")
+    known, kinds, all_ = (x or 0 for x in stats.agg(F.count(F.lit(1)), F.count(F.when(F.col("continuation") > 0, 1)), F.sum("continuation")).first())
+    # what the kept bigrams of a context leave over; the cut ones leave all of theirs
+    d, base, all_ = [float(x) for x in tables.discount], (0.75 * kinds + (kinds == 0)) / (known + 1), max(all_, 1)
+    left = F.col("ones") * (1.0 if CUT > 1 else d[1]) + F.col("twos") * d[2] + F.col("more") * d[3]
+    words = stats.select("w", "total", F.when(F.col("total") > 0, F.greatest(left / F.col("total"), F.lit(1e-6))).otherwise(1.0).alias("back"), ((F.greatest(F.col("continuation") - 0.75, F.lit(0.0)) + base) / float(all_)).alias("lower"), (F.col("total") + F.col("continuation")).alias("n"))
+    tables.hold_words(_common(words, "n").select("w", F.col("total").cast("double"), "back", "lower").toArrow().combine_chunks(), base / all_)
+    shared = scratch.spark.sparkContext.broadcast(tables)
+
+    def fill(batches):
+        import pyarrow as pa
+
+        tab = shared.value
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            more = [_Held(t.keys, t.values, np.nan)[x] for t, x in ((tab.total, a), (tab.back, a), (tab.lower, b))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, mask=np.isnan(x)) for x in more)], names=["a", "b", "n", "total", "back", "lower"])
+
+    # words that each task holds are settled where the pair is, so only rare ones are joined by their hash
+    names = ["a", "b", "n", "total", "back", "lower"]
+    filled = pairs.filter(F.col("n") >= CUT).mapInArrow(fill, "a long, b long, n long, total double, back double, lower double")
+    rare = filled.filter("total is null").select("a", "b", "n", "lower").join(words.select(F.col("w").alias("a"), F.col("total").cast("double").alias("total"), "back"), "a").select(*names)
+    filled = filled.filter("total is not null").unionByName(rare)
+    rare = filled.filter("lower is null").drop("lower").join(words.select(F.col("w").alias("b"), "lower"), "b").select(*names)
+    filled = filled.filter("lower is not null").unionByName(rare)
+
+    def of_pairs(batches):
+        import pyarrow as pa
+
+        tab = shared.value
+        for batch in batches:
+            a, b, n, whole, back, lower = (batch.column(i).to_numpy() for i in range(6))
+            own = np.maximum(n - tab.discount[np.minimum(n, 3)], 0) / whole
+            value = np.log(own + back * lower) - np.log(back) - np.log(lower)
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_key(a.view(np.uint64), b.view(np.uint64)).view(np.int64)), pa.array(value), batch.column(2)], names=["key", "value", "n"])
+
+    def of_words(batches):
+        import pyarrow as pa
+
+        tab = shared.value
+        for batch in batches:
+            w, back, lower, n = (batch.column(i).to_numpy() for i in range(4))
+            keys = np.concatenate([w, _context_key(w.view(np.uint64)).view(np.int64)])
+            value = np.concatenate([np.log(lower) - np.log(tab.unknown), np.log(back)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(value), pa.array(np.tile(n, 2))], names=["key", "value", "n"])
+
+    entries = filled.mapInArrow(of_pairs, "key long, value double, n long").unionByName(words.select("w", "back", "lower", "n").mapInArrow(of_words, "key long, value double, n long"))
+    entries = scratch.save(entries, "entries")
+    scratch.drop(pairs, stats)
+    tables.hold_entries(_common(entries, "n").select("key", "value").toArrow().combine_chunks())
+
+    def packed(batches):
         import pyarrow as pa
 
-        x = sum(np.frombuffer(k.as_buffer(), np.int64) for k in table.column("keys"))
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([x.tobytes()], pa.binary())})
+        def out():
+            keys, values = (np.concatenate([h[k] for h in have]) for k in range(2))
+            found = list(_split(keys.view(np.uint64), shards, values))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int64()), pa.array([_pack(k) for _, k, _ in found], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found], pa.binary())], names=["shard", "keys", "values"])
+
+        have, n = [], 0
+        for batch in batches:
+            have.append([batch.column(i).to_numpy() for i in range(2)])
+            n += batch.num_rows
+            if n >= SHARD:
+                yield out()
+                have, n = [], 0
+        if n:
+            yield out()
 
     def marks(batches):
         import pyarrow as pa
 
-        packed = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
-        tallies = np.zeros(5, np.int64)
+        bits = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
         for batch in batches:
-            for k, c in zip(batch.column(0), batch.column(1)):
-                at = _place(_unpack(k.as_buffer()))
-                np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
-                tallies += np.bincount(np.minimum(np.frombuffer(c.as_buffer(), np.uint32), 5), minlength=6)[:5]
-        packed = packed.reshape(SLICES, -1)
-        some = [i for i in range(SLICES) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*(packed[i].tobytes() for i in some), tallies.tobytes()], pa.binary())], names=["slice", "keys"])
+            at = _place(batch.column(0).to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        bits = bits.reshape(SLICES, -1)
+        some = [i for i in range(SLICES) if bits[i].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([bits[i].tobytes() for i in some], pa.binary())], names=["slice", "bits"])
 
     def join_marks(key, table):
         import pyarrow as pa
 
-        if key[0].as_py() < 0:
-            return of_counts(key, table)
-        x = np.bitwise_or.reduce([np.frombuffer(k.as_buffer(), np.uint8) for k in table.column("keys")])
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([x.tobytes()], pa.binary())})
-
-    both = scratch.save(texts.mapInArrow(count, "shard long, keys binary, counts binary").groupBy("shard").applyInArrow(total, "kind int, slice long, keys binary, counts binary"), "model")
-    stats = np.zeros((5, size), np.int64)
-    for r in both.filter("kind = 1").select("slice", "keys").groupBy("slice").applyInArrow(of_counts, "slice long, keys binary").collect():  # SLICES rows, 10 MB in all
-        stats[:, r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["keys"], np.int64).reshape(5, -1)
-    model = both.filter("kind = 0").select(F.col("slice").alias("shard"), "keys", "counts")
-    seen, tallies = np.zeros((SLICES, (1 << SEEN_BITS) // 8 // SLICES), np.uint8), np.zeros(5, np.int64)
-    for r in model.select("keys", "counts").mapInArrow(marks, "slice long, keys binary").groupBy("slice").applyInArrow(join_marks, "slice long, keys binary").collect():  # SLICES + 1 rows, 16 MB in all
-        if r["slice"] < 0:
-            tallies = np.frombuffer(r["keys"], np.int64)
-        else:
-            seen[r["slice"]] = np.frombuffer(r["keys"], np.uint8)
-    counts = [stats[2].sum(), tallies[2], tallies[3], tallies[4]]
-    return model, Tables(*stats, counts), seen.reshape(-1)
+        x = np.bitwise_or.reduce([np.frombuffer(k.as_buffer(), np.uint8) for k in table.column("bits")])
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([x.tobytes()], pa.binary())})
+
+    seen = np.zeros((SLICES, (1 << SEEN_BITS) // 8 // SLICES), np.uint8)
+    for r in entries.select("key").mapInArrow(marks, "slice long, bits binary").groupBy("slice").applyInArrow(join_marks, "slice long, bits binary").collect():  # SLICES rows, 16 MB in all
+        seen[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return entries.select("key", "value").mapInArrow(packed, "shard long, keys binary, values binary"), tables, seen.reshape(-1)
 
 
 def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.ndarray, shards: int, columns: list[str], text_col: str, scratch: Scratch) -> DataFrame:
     """``columns`` of each row with n_words and perplexity (null without words).
 
-    What misses the model is scored where the text is, from the lower-order tables. Pairs that can be in the
-    model go to its shards as packed keys with the document's number in its block; a shard joins them with its
-    counts and returns sums by document, which the block adds up. Texts aren't shuffled.
+    Keys of common entries are settled where the text is. All others that can be in the model go to its shards,
+    packed, with the document's number in its block; a shard joins them with its entries and returns sums by
+    document, which the block adds up. Texts aren't shuffled.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tables, seen))
+    shared = spark.sparkContext.broadcast((tables.entries, math.log(tables.unknown), seen))
 
     def ask(batches):
         import pyarrow as pa
 
-        tab, bits = shared.value
-        u = np.uint64
+        common, unknown, bits = shared.value
         for batch in batches:
             block = batch.column(0)[0].as_py() if batch.num_rows else None
             if block is None:
@@ -201,18 +309,22 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
             for low in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(low, BLOCK)
                 sums, sizes = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
-                keys, docs_at = [], []
-                for i, ids, pair in bigrams(part.column(1)):
-                    sizes[i] = len(ids)
-                    if len(ids) == 0:
-                        continue
-                    at = _place(pair)
-                    may = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-                    first, second = _words_of(pair[~may])
-                    sums[i] = math.log(tab.lower[int(ids[0])]) + tab.miss(first, second).sum()
-                    keys.append(pair[may])
-                    docs_at.append(np.full(int(may.sum()), i, np.uint16))
-                found = list(_split(np.concatenate(keys), shards, np.concatenate(docs_at))) if keys else []
+                keys, docs_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+                for row, h, before in _pieces(part.column(1)):
+                    n = len(before) - 1
+                    sizes[row : row + n] = np.diff(before)
+                    text, pair = _within(before)
+                    k = np.concatenate([h, _context_key(h[pair]), _pair_key(h[pair], h[pair + 1])])
+                    who = np.concatenate([text, text[pair], text[pair]])
+                    at = _place(k)
+                    may = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                    k, who = k[may], who[may]
+                    value = common[k]
+                    far = np.isnan(value)
+                    sums[row : row + n] = np.bincount(who[~far], value[~far], n) + unknown * np.diff(before)
+                    keys.append(k[far])
+                    docs_at.append((who[far] + row).astype(np.uint16))
+                found = list(_split(np.concatenate(keys), shards, np.concatenate(docs_at)))
                 number = block + low
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
@@ -223,22 +335,21 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
     def answer(key, table):
         import pyarrow as pa
 
-        tab, _ = shared.value
-        held, held_n, out = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        held, value, out = [np.zeros(0, np.uint64)], [np.zeros(0)], []
         block = table.column("block").to_pylist()
         for i, b in enumerate(block):
             if b is None:
-                held, held_n = _unpack(table.column("keys")[i].as_buffer()), np.frombuffer(table.column("docs")[i].as_buffer(), np.uint32).astype(np.int64)
+                held.append(_unpack(table.column("keys")[i].as_buffer()))
+                value.append(np.frombuffer(table.column("docs")[i].as_buffer(), np.float64))
+        held, value = np.concatenate(held), np.concatenate(value)
+        order = np.argsort(held, kind="stable")
+        held = _Held(held[order], value[order], 0.0)
         for i, b in enumerate(block):
             if b is None:
                 continue
             k, d = _unpack(table.column("keys")[i].as_buffer()), np.frombuffer(table.column("docs")[i].as_buffer(), np.uint16)
-            first, second = _words_of(k)
-            at = np.minimum(np.searchsorted(held, k), max(len(held) - 1, 0))
-            n = np.where(held[at] == k, held_n[at], 0) if len(held) else np.zeros(len(k), np.int64)
-            p = np.where(n > 0, tab.hit(first, second, n), tab.miss(first, second))
             who, place = np.unique(d, return_inverse=True)
-            out.append({"block": b, "docs": who.astype(np.uint16).tobytes(), "sums": np.bincount(place, p).tobytes()})
+            out.append({"block": b, "docs": who.astype(np.uint16).tobytes(), "sums": np.bincount(place, held[k]).tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())]))
 
     def gather(key, table):
@@ -257,7 +368,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
     asked = numbered.select("row", text_col).mapInArrow(ask, "shard long, block long, keys binary, docs binary")
     asked = scratch.save(asked, "asked")
     local = asked.filter("shard < 0").select("block", F.lit(None).cast("binary").alias("docs"), F.col("keys").alias("sums"), F.col("docs").alias("local"))
-    together = asked.filter("shard >= 0").unionByName(model.select("shard", F.lit(None).cast("long").alias("block"), "keys", F.col("counts").alias("docs")))
+    together = asked.filter("shard >= 0").unionByName(model.select("shard", F.lit(None).cast("long").alias("block"), "keys", F.col("values").alias("docs")))
     answers = together.groupBy("shard").applyInArrow(answer, "block long, docs binary, sums binary").withColumn("local", F.lit(None).cast("binary"))
     scores = answers.unionByName(local).groupBy("block").applyInArrow(gather, "row long, n_words long, logp double")
     out = numbered.select("row", *columns).join(scores, "row").drop("row")

@@ -236,3 +236,31 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
             want = {r["doc_id"] for r in jaccard_join.near_duplicates(before).collect() if r["doc_id"] == r["component_id"]}
             assert len(want) == step.count()
     assert step.count() > 0
+
+
+def _scores(spark, taught, asked, shards=16):
+    teach = spark.createDataFrame([(t,) for t in taught], "text string")
+    scratch = perplexity.Scratch(spark, "t")
+    model, tables, seen = perplexity._trained(teach, shards, scratch)
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    return {r["doc_id"]: r["perplexity"] for r in perplexity.perplexities(rows, model, tables, seen, shards, ["doc_id"], "text", scratch).collect()}
+
+
+def test_perplexity_tells_words_apart_that_share_hash_bits(spark):
+    import pyarrow as pa
+
+    held: dict = {}
+    for i in range(20_000):
+        h = int(next(perplexity.bigrams(pa.array([f"w{i}"])))[1][0])
+        if held.setdefault(h >> (64 - 18) if perplexity.WORD_BITS == 64 else h, i) != i:
+            break
+    known, strange = f"w{held[h >> 46 if perplexity.WORD_BITS == 64 else h]}", f"w{i}"
+    score = _scores(spark, [f"a{n} {known}" for n in range(50)], [known, strange, "never_seen"])
+    assert score[0] < score[1] == pytest.approx(score[2])
+
+
+def test_perplexity_is_the_same_without_common_entries(spark, docs, monkeypatch):
+    taught = [r["text"] for r in docs.collect() if r["text"]]
+    want = _scores(spark, taught[::2], taught)
+    monkeypatch.setattr(perplexity, "COMMON", 0)
+    assert _scores(spark, taught[::2], taught) == pytest.approx(want)
