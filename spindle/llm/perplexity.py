@@ -17,9 +17,9 @@ PAIR_BITS = 0
 #: Bits of the table that tells which keys can be in the model at all (16 MB); it only saves look-ups.
 SEEN_BITS = 27
 #: Words and entries of the model, the most frequent ones, that each task holds too; they only save look-ups.
-COMMON = 1 << 18
-#: Bigrams seen less often are left to the lower order (their mass with them).
-CUT = 2
+COMMON = 1 << 20
+#: Bigrams seen less often are left to the lower order (their mass with them); 1 keeps all.
+CUT = 1
 #: Entries of one shard of the model, which one task holds.
 SHARD = 1 << 20
 #: Share of a language's held-out trusted documents above its threshold.
@@ -197,6 +197,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     sides = pairs.select(F.col("a").alias("w"), "n", none.alias("before")).unionByName(pairs.select(F.col("b").alias("w"), none.alias("n"), F.lit(1).cast("long").alias("before")))
     tally = lambda when: F.sum(F.when(when, 1).otherwise(0))
     stats = scratch.save(sides.groupBy("w").agg(F.sum("n").alias("total"), F.sum("before").alias("continuation"), tally(F.col("n") == 1).alias("ones"), tally(F.col("n") == 2).alias("twos"), tally(F.col("n") >= 3).alias("more")), "words")
+    scratch.release()
     known, kinds, all_ = (x or 0 for x in stats.agg(F.count(F.lit(1)), F.count(F.when(F.col("continuation") > 0, 1)), F.sum("continuation")).first())
     # what the kept bigrams of a context leave over; the cut ones leave all of theirs
     d, base, all_ = [float(x) for x in tables.discount], (0.75 * kinds + (kinds == 0)) / (known + 1), max(all_, 1)
@@ -230,7 +231,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
             a, b, n, whole, back, lower = (batch.column(i).to_numpy() for i in range(6))
             own = np.maximum(n - tab.discount[np.minimum(n, 3)], 0) / whole
             value = np.log(own + back * lower) - np.log(back) - np.log(lower)
-            yield pa.RecordBatch.from_arrays([pa.array(_pair_key(a.view(np.uint64), b.view(np.uint64)).view(np.int64)), pa.array(value), batch.column(2)], names=["key", "value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_pair_key(a.view(np.uint64), b.view(np.uint64)).view(np.int64)), pa.array(value.astype(np.float32)), batch.column(2)], names=["key", "value", "n"])
 
     def of_words(batches):
         import pyarrow as pa
@@ -240,10 +241,11 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
             w, back, lower, n = (batch.column(i).to_numpy() for i in range(4))
             keys = np.concatenate([w, _context_key(w.view(np.uint64)).view(np.int64)])
             value = np.concatenate([np.log(lower) - np.log(tab.unknown), np.log(back)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(value), pa.array(np.tile(n, 2))], names=["key", "value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(value.astype(np.float32)), pa.array(np.tile(n, 2))], names=["key", "value", "n"])
 
-    entries = filled.mapInArrow(of_pairs, "key long, value double, n long").unionByName(words.select("w", "back", "lower", "n").mapInArrow(of_words, "key long, value double, n long"))
+    entries = filled.mapInArrow(of_pairs, "key long, value float, n long").unionByName(words.select("w", "back", "lower", "n").mapInArrow(of_words, "key long, value float, n long"))
     entries = scratch.save(entries, "entries")
+    del sides, words, filled, rare
     scratch.drop(pairs, stats)
     tables.hold_entries(_common(entries, "n").select("key", "value").toArrow().combine_chunks())
 
@@ -328,7 +330,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
                 number = block + low
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _, _ in found] + [-1], pa.int64()), pa.array([number] * (n + 1), pa.int64()), pa.array([_pack(k) for _, k, _ in found] + [sums.tobytes()], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found] + [sizes.tobytes()], pa.binary())],
+                    [pa.array([s for s, _, _ in found] + [-1 - (number // BLOCK + (number >> 33)) % shards], pa.int64()), pa.array([number] * (n + 1), pa.int64()), pa.array([_pack(k) for _, k, _ in found] + [sums.tobytes()], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found] + [sizes.tobytes()], pa.binary())],
                     names=["shard", "block", "keys", "docs"],
                 )
 
@@ -337,10 +339,12 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
 
         held, value, out = [np.zeros(0, np.uint64)], [np.zeros(0)], []
         block = table.column("block").to_pylist()
+        if key[0].as_py() < 0:
+            return table.select(["block", "keys", "docs"]).rename_columns(["block", "sums", "local"]).add_column(1, "docs", pa.nulls(table.num_rows, pa.binary()))
         for i, b in enumerate(block):
             if b is None:
                 held.append(_unpack(table.column("keys")[i].as_buffer()))
-                value.append(np.frombuffer(table.column("docs")[i].as_buffer(), np.float64))
+                value.append(np.frombuffer(table.column("docs")[i].as_buffer(), np.float32))
         held, value = np.concatenate(held), np.concatenate(value)
         order = np.argsort(held, kind="stable")
         held = _Held(held[order], value[order], 0.0)
@@ -350,7 +354,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
             k, d = _unpack(table.column("keys")[i].as_buffer()), np.frombuffer(table.column("docs")[i].as_buffer(), np.uint16)
             who, place = np.unique(d, return_inverse=True)
             out.append({"block": b, "docs": who.astype(np.uint16).tobytes(), "sums": np.bincount(place, held[k]).tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())]))
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("local", pa.binary())]))
 
     def gather(key, table):
         import pyarrow as pa
@@ -366,11 +370,9 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     asked = numbered.select("row", text_col).mapInArrow(ask, "shard long, block long, keys binary, docs binary")
-    asked = scratch.save(asked, "asked")
-    local = asked.filter("shard < 0").select("block", F.lit(None).cast("binary").alias("docs"), F.col("keys").alias("sums"), F.col("docs").alias("local"))
-    together = asked.filter("shard >= 0").unionByName(model.select("shard", F.lit(None).cast("long").alias("block"), "keys", F.col("values").alias("docs")))
-    answers = together.groupBy("shard").applyInArrow(answer, "block long, docs binary, sums binary").withColumn("local", F.lit(None).cast("binary"))
-    scores = answers.unionByName(local).groupBy("block").applyInArrow(gather, "row long, n_words long, logp double")
+    together = asked.unionByName(model.select("shard", F.lit(None).cast("long").alias("block"), "keys", F.col("values").alias("docs")))
+    answers = together.groupBy("shard").applyInArrow(answer, "block long, docs binary, sums binary, local binary")
+    scores = answers.groupBy("block").applyInArrow(gather, "row long, n_words long, logp double")
     out = numbered.select("row", *columns).join(scores, "row").drop("row")
     return out.select(*columns, "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("logp") / F.col("n_words"))).alias("perplexity"))
 

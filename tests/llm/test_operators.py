@@ -264,3 +264,8 @@ def test_perplexity_is_the_same_without_common_entries(spark, docs, monkeypatch)
     want = _scores(spark, taught[::2], taught)
     monkeypatch.setattr(perplexity, "COMMON", 0)
     assert _scores(spark, taught[::2], taught) == pytest.approx(want)
+
+
+def test_perplexity_keeps_pairs_seen_once(spark):
+    score = _scores(spark, ["a b", "c d", "g h", "i j", "e f", "e f"], ["a b", "a d"])
+    assert score[0] < score[1]
