@@ -11,7 +11,7 @@ from spindle.llm.scratch import Scratch
 
 #: n-grams fall into 2**16 buckets, so a model has a fixed size and can be broadcast.
 BUCKET_BITS = 16
-#: At most so many trusted rows (least hash first) fit the target, and as many again calibrate the threshold.
+#: At most so many trusted rows (least hash first) fit the target; all held-out ones calibrate the threshold.
 SAMPLE = 40_000
 #: Share of the held-out trusted rows that may fall below the threshold.
 MISS = 0.002
@@ -52,23 +52,24 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     ``score`` is the sum over the text's 1- and 2-grams of log p_trusted(bucket) - log p_raw(bucket), divided
     by their number. Raw counts cover every document. Trusted documents are labelled quality 1 and not toxic;
-    a bounded ``sample`` of them fits p_trusted and a disjoint one sets the threshold, at the score that a
-    share ``MISS`` of them misses (a histogram of 0.001 steps, so reruns agree). A row is kept if it doesn't
+    a hash of the id deals them into two halves. A bounded ``sample`` of one fits p_trusted; all of the other
+    sets the threshold, at the score that a share ``MISS`` of them misses (a histogram of 0.001 steps, so reruns
+    agree). A row is kept if it doesn't
     fail the base rules and its score reaches the threshold; without trusted rows the base rules decide.
 
     Null and empty texts have no words and fail the base rules. Rows with equal ids are judged one by one; a
     label that repeats or contradicts itself counts as trusted only if all its rows are; null ids carry no
     label. Word triples are compared by 64-bit hashes within one document. The only shuffles are of bucket
-    counts and of one row per document.
+    counts, of one row per document and of the ids and scores that set the threshold.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "rules")
     trusted = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("ok")).filter("ok")
-    trusted = trusted.select("_id", F.xxhash64("_id").alias("_h")).orderBy("_h").limit(2 * sample)
-    trusted = scratch.save(trusted.select("_id", F.pmod("_h", F.lit(2)).cast("int").alias("_fold")), "trusted")
-    flag = lambda d: d.join(F.broadcast(trusted), d[id_col] == F.col("_id"), "left").drop("_id")  # noqa: E731  2 * sample rows at most
+    trusted = scratch.save(trusted.select("_id", F.xxhash64("_id").alias("_h"), F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("_fold")), "trusted")
+    fit = scratch.save(trusted.filter("_fold = 0").orderBy("_h").limit(sample).select("_id", "_fold"), "fit")
 
-    counts = flag(docs.select(id_col, text_col)).select("_fold", word_array(F.col(text_col)).alias("_w")).select("_fold", F.explode(_buckets(F.col("_w"))).alias("_b"))
+    counts = docs.select(id_col, text_col).join(F.broadcast(fit), F.col(id_col) == F.col("_id"), "left")  # ``sample`` rows at most
+    counts = counts.select("_fold", word_array(F.col(text_col)).alias("_w")).select("_fold", F.explode(_buckets(F.col("_w"))).alias("_b"))
     counts = counts.filter("_b is not null").groupBy("_b").agg(F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("_fold") == 0, 1)).alias("target"))
     counts = scratch.save(counts, "counts")
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
@@ -76,15 +77,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bias = math.log(raw + 2 * PRIOR * size) - math.log(target + PRIOR * size)
     weights = counts.select("_b", (F.log(F.col("target") + PRIOR) - F.log(F.col("raw") + 2 * PRIOR) + F.lit(bias)).alias("_x"))
 
-    rows = flag(_signals(docs.select(id_col, text_col), id_col, text_col)).withColumn("_row", F.monotonically_increasing_id())
-    base = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_fold"]
+    rows = _signals(docs.select(id_col, text_col), id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    base = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = rows.select(*base, "_row", F.explode_outer(_buckets(F.col("_w"))).alias("_g"))
     rows = rows.join(F.broadcast(weights), F.col("_g") == F.col("_b"), "left")  # 2**BUCKET_BITS rows at most
     rows = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in base], F.sum("_x").alias("_sum"), F.count("_x").alias("_n"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).withColumn("score", F.coalesce(F.col("_sum") / F.col("_n"), F.lit(0.0)))
     rows = scratch.save(rows.drop("_row", "_sum", "_n"), "scores")
 
-    held = rows.filter((F.col("_fold") == 1) & ~F.col("base_failed")).groupBy(F.floor(F.col("score") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # bins of a bounded sample
+    held = rows.filter(~F.col("base_failed")).join(trusted.filter("_fold = 1"), F.col(id_col) == F.col("_id"), "left_semi")
+    held = held.groupBy(F.floor(F.col("score") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # some thousand bins, whatever the rows
     total, seen, threshold = sum(r["n"] for r in held), 0, -math.inf
     for r in held:
         if seen + r["n"] > MISS * total:
@@ -93,7 +95,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         seen += r["n"]
     if not target:
         threshold = -math.inf
-    return rows.drop("_fold").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,3 +269,12 @@ def test_perplexity_is_the_same_without_common_entries(spark, docs, monkeypatch)
 def test_perplexity_keeps_pairs_seen_once(spark):
     score = _scores(spark, ["a b", "c d", "g h", "i j", "e f", "e f"], ["a b", "a d"])
     assert score[0] < score[1]
+
+
+def test_quality_rules_threshold_covers_all_held_out_rows(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 3) for _ in range(80))) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = quality_rules.quality_rules(docs, labels, sample=5).selectExpr("*", "pmod(xxhash64(doc_id), 2) AS fold").collect()
+    held = [r for r in out if r["fold"] == 1 and not r["base_failed"]]
+    assert len(held) > 50 and all(r["kept"] for r in held)
