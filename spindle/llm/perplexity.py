@@ -22,7 +22,7 @@ COMMON = 1 << 20
 CUT = 1
 #: Entries of one shard of the model, which one task holds.
 SHARD = 1 << 20
-#: Share of a language's held-out trusted documents above its threshold.
+#: Share of a language's held-out trusted documents above its threshold where no label tells bad documents.
 MISS = 0.003
 SLICES = 16
 #: Documents whose pairs a task holds at once (their numbers take 16 bits at most).
@@ -377,13 +377,45 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
     return out.select(*columns, "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("logp") / F.col("n_words"))).alias("perplexity"))
 
 
+def _limits(steps: dict, share: float) -> dict:
+    """For each language the step that a ``share`` of its trusted documents exceeds; ``steps``: language -> step -> (trusted, bad)."""
+    out = {}
+    for lang, at in steps.items():
+        total, over = sum(n for n, _ in at.values()), 0
+        for s in sorted(at, reverse=True):
+            over += at[s][0]
+            if over > share * total:
+                out[lang] = s
+                break
+    return out
+
+
+def _share(steps: dict, miss: float) -> float:
+    """The share of trusted documents to lose, in steps of 0.1%, that sets rejected shares of low-quality and trusted
+    documents furthest apart, over all languages (Youden's index; the least such); ``miss`` without either kind."""
+    total = [sum(n[k] for lang, at in steps.items() if lang is not None for n in at.values()) for k in range(2)]
+    if not all(total):
+        return miss
+    best = (-math.inf, miss)
+    for k in range(1, 501):
+        limit = _limits(steps, k / 1000)
+        everywhere = limit.get(None, math.inf)
+        gone = [sum(n[i] for lang, at in steps.items() if lang is not None for s, n in at.items() if s > limit.get(lang, everywhere)) for i in range(2)]
+        gain = gone[1] / total[1] - gone[0] / total[0]
+        if gain > best[0]:
+            best = (gain, k / 1000)
+    return best[1]
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", miss: float = MISS, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """Per row: id, language, the columns ``carry``, n_words, perplexity, threshold, kept.
 
     Trusted documents are labelled quality 1 and not toxic in all their label rows. A hash of the id deals them
     into two halves: one trains the model, the other sets each language's threshold, the perplexity that a share
-    ``miss`` of its held-out documents exceeds (from a histogram of steps of 1% of a nat). A language without
-    held-out documents uses that of all. Documents at or below the threshold are kept.
+    of its held-out documents exceeds (from a histogram of steps of 1% of a nat). That share is chosen on all
+    held-out documents and all of quality 0 (``_share``), and is ``miss`` without labels of quality 0. Toxic
+    documents of quality 1 read like trusted ones and set nothing. A language without held-out documents uses
+    the threshold of all. Documents at or below the threshold are kept.
 
     Null and empty texts have no words, a null perplexity and aren't kept; null languages are one language; rows
     with equal ids are scored one by one; null ids carry no label; without trusted documents all with words stay.
@@ -393,6 +425,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     trusted = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("ok")).filter("ok")
     trusted = scratch.save(trusted.select("_id", F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("_fold")), "trusted")
     teach = trusted.filter("_fold = 0").select("_id")
+    low = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_q")).filter("_q = 0")
     texts = among(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("_id is not null"), teach, "_id")
     size = scratch.save(texts.select("text"), "texts")
     words = size.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -401,20 +434,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scratch.drop(size)
     scored = scratch.save(perplexities(docs, model, tables, seen, shards, [id_col, lang_col, *carry], text_col, scratch), "scores")
     step = F.floor(F.log("perplexity") * 100).alias("step")
-    held = scored.filter("perplexity is not null").join(trusted.filter("_fold = 1"), F.col(id_col) == F.col("_id"), "left_semi").groupBy(lang_col, step).agg(F.count(F.lit(1)).alias("n")).collect()  # languages times a few hundred steps
+    judged = trusted.filter("_fold = 1").select("_id", F.lit(0).alias("_bad")).unionByName(low.select("_id", F.lit(1).alias("_bad")))
+    held = scored.filter("perplexity is not null").join(judged, F.col(id_col) == F.col("_id")).groupBy(lang_col, step).agg(F.count(F.when(F.col("_bad") == 0, 1)).alias("good"), F.sum("_bad").alias("bad")).collect()  # languages times a few hundred steps
     by_lang: dict = {}
     for r in held:
         for lang in ((r[lang_col],), None):
             steps = by_lang.setdefault(lang, {})
-            steps[r["step"]] = steps.get(r["step"], 0) + r["n"]
-    limit = {}
-    for lang, steps in by_lang.items():
-        total, over = sum(steps.values()), 0
-        for s in sorted(steps, reverse=True):
-            over += steps[s]
-            if over > miss * total:
-                limit[lang] = math.exp((s + 1) / 100)
-                break
+            good, bad = steps.get(r["step"], (0, 0))
+            steps[r["step"]] = good + r["good"], bad + r["bad"]
+    limit = {lang: math.exp((s + 1) / 100) for lang, s in _limits(by_lang, _share(by_lang, miss)).items()}
     threshold = F.lit(limit.get(None, math.inf))
     for lang, value in limit.items():
         if lang is not None:

@@ -278,3 +278,12 @@ def test_quality_rules_threshold_covers_all_held_out_rows(spark):
     out = quality_rules.quality_rules(docs, labels, sample=5).selectExpr("*", "pmod(xxhash64(doc_id), 2) AS fold").collect()
     held = [r for r in out if r["fold"] == 1 and not r["base_failed"]]
     assert len(held) > 50 and all(r["kept"] for r in held)
+
+
+def test_perplexity_threshold_uses_both_labels():
+    steps = {s: (1, 0) for s in range(980)} | {s: (1, 20) for s in range(980, 1000)} | {1000: (0, 10)}
+    share = perplexity._share({("en",): steps, None: steps}, 0.003)
+    limit = perplexity._limits({("en",): steps}, share)[("en",)]
+    assert sum(bad for s, (_, bad) in steps.items() if s > limit) >= 0.9 * 410
+    only = {s: (n, 0) for s, (n, _) in steps.items()}
+    assert perplexity._share({("en",): only, None: only}, 0.003) == 0.003
