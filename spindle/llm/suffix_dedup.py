@@ -1,4 +1,4 @@
-"""Operator 4, suffix-array dedup by bucket-pointer refinement over sampled suffixes."""
+"""Operator 4, dedup of repeated strings by anchors and hashes of ever longer stretches."""
 
 from __future__ import annotations
 
@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from spindle.llm.scratch import Scratch, parts
 from spindle.llm.spans import Plan, marked, merged, repeated_spans, roots
 
-#: 64-byte buckets first, then pointers to buckets of up to 12 offsets, then single 200-byte strings.
+#: 64-byte grams first, then stretches of up to 12 offsets at once, then single 200-byte strings.
 PLAN = Plan(length=200, gram=64, unit="byte", fans=(12, 12))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = PLAN, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary), spans, row, and the columns ``carry``.
 
-    Every byte covered by a ``plan.length``-byte string that also starts anywhere else is removed. Buckets of
-    sampled suffixes start as q-grams and are refined by sorting on the bucket identifiers of later offsets; a
-    level's identifiers are computed only for suffixes still undecided, and each level reuses the one before
-    (see ``spans``). Texts are dealt by row once, as a bucketed table; later levels move identifiers only.
+    Every byte covered by a ``plan.length``-byte string that also starts anywhere else is removed. Anchors,
+    chosen by content, are grouped by the hash of their q-gram, then by hashes of longer stretches around them,
+    which each level computes anew from the texts for anchors still undecided (see ``spans``). This replaces
+    refinement by bucket pointers; no identifier of another suffix is used. Texts are dealt by row once, as a bucketed table; later levels move identifiers only.
 
     Null and empty texts have 0 bytes; texts shorter than the string have no repeats; rows with equal ids are
     documents of their own; cuts may fall within a character, which is why ``kept`` is binary. Strings are
