@@ -12,9 +12,18 @@ import ctypes
 
 import numpy as np
 
+def tidy() -> None:
+    """Gives freed memory back to the system: called at the end of a task, as its worker lives on for others."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 with contextlib.suppress(OSError, AttributeError):
-    # glibc: keep freed buffers of up to 32 MB; giving pages back and faulting them in again took most of the time
-    for option, value in ((-1, 1 << 26), (-3, 1 << 25)):
+    # glibc: keep freed buffers of up to 4 MB within a task; giving pages back and faulting them in again took most of the time
+    for option, value in ((-1, 1 << 25), (-3, 1 << 22)):
         ctypes.CDLL("libc.so.6").mallopt(option, value)
 
 U = np.uint64
@@ -134,7 +143,7 @@ def chunks(column, limit: int = 1 << 16):
         i = j
 
 
-def _ahead(x: np.ndarray, w: int, f) -> np.ndarray:
+def ahead(x: np.ndarray, w: int, f) -> np.ndarray:
     """f over each run of ``w`` entries by doubling: len(x) - w + 1 results."""
     y, k = x.copy(), 1
     while 2 * k <= w:
@@ -161,10 +170,10 @@ def anchors(h: np.ndarray, w: int, valid: np.ndarray | None = None) -> np.ndarra
     n = len(h)
     if n < w:
         return np.zeros(0, np.int64)
-    least = _ahead(h, w, np.minimum)
+    least = ahead(h, w, np.minimum)
     if valid is not None:
         least[~valid] = 0
     pad = np.zeros(len(least) + 2 * (w - 1), U)
     pad[w - 1 : w - 1 + len(least)] = least
-    most = _ahead(pad, w, np.maximum)
+    most = ahead(pad, w, np.maximum)
     return np.flatnonzero((most[:n] == h) & (h > 0))

@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spindle-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -26,7 +28,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
-        self.tables: dict[str, str] = {}
         self.n = 0
 
     def _path(self, name: str) -> str:
@@ -40,14 +41,17 @@ class Scratch:
         out._spindle_path = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-        """Deals the rows by ``key`` once; later joins on it move only the other side."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str, ordered: bool = False) -> DataFrame:
+        """Deals the rows by ``key`` once, sorted by it if ``ordered``; later joins on it move only the other side."""
         path = self._path(name)
         table = f"spindle_{name}_{uuid.uuid4().hex[:12]}"
-        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+        dealt = df.repartition(buckets, key)
+        writer = (dealt.sortWithinPartitions(key) if ordered else dealt).write.bucketBy(buckets, key)
+        (writer.sortBy(key) if ordered else writer).option("path", path).format("parquet").saveAsTable(table)
         out = self.spark.table(table)
+        out.schema  # resolved now: the files stay, and no name is left in the catalogue
+        self.spark.sql(f"DROP TABLE {table}")
         out._spindle_path = path
-        self.tables[path] = table
         self.release()
         return out
 
@@ -62,8 +66,6 @@ class Scratch:
             path = getattr(df, "_spindle_path", None)
             if path is None:
                 continue
-            if path in self.tables:
-                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(path)}")
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

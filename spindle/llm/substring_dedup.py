@@ -30,15 +30,7 @@ class FingerprintIndex:
         self.scratch, self.buckets, self.runs = scratch, buckets, []
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        from uuid import uuid4
-
-        path = self.scratch._path("run")
-        table = f"spindle_run_{uuid4().hex[:12]}"
-        rows.repartition(self.buckets, "core").sortWithinPartitions("core").write.bucketBy(self.buckets, "core").sortBy("core").option("path", path).format("parquet").saveAsTable(table)
-        self.scratch.tables[path] = table
-        out = self.scratch.spark.table(table)
-        out._spindle_path = path
-        return out
+        return self.scratch.bucketed(rows, "core", self.buckets, "run", ordered=True)
 
     def history(self, batch: DataFrame) -> list[DataFrame]:
         """From each run the rows whose fingerprint the batch has."""

@@ -1,63 +1,344 @@
-"""Operator 4, dedup of repeated strings by anchors and hashes of ever longer stretches."""
+"""Operator 4, suffix-array dedup by bucket-pointer refinement over packed blocks of texts."""
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm.scratch import Scratch, parts
-from spindle.llm.spans import Plan, marked, merged, repeated_spans, roots
 
-#: 64-byte grams first, then stretches of up to 12 offsets at once, then single 200-byte strings.
-PLAN = Plan(length=200, gram=64, unit="byte", fans=(12, 12))
+#: Length of the strings, and of the grams of the initial buckets (each round doubles them: 50, 100, 200).
+LENGTH, GRAM = 200, 50
+#: Length of the grams of the sieve, which are sampled by content.
+SIEVE = 64
+#: Bytes of text of a block, the unit that a task sorts at once; a longer text is a block of its own.
+BLOCK = 1 << 20
+#: Bytes of text for each shard of bucket names, and for each bucket of the table of blocks.
+SHARD, DEAL = 4 << 20, 24 << 20
+#: Bits of a bucket's name in all rounds but the last. Names only sieve there: a clash keeps a suffix for the next round.
+COARSE = 48
+
+
+def _squeeze(keys: np.ndarray, width: int) -> bytes:
+    """Sorted whole numbers of ``width`` bytes at most as differences, by byte planes."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unsqueeze(data, n: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return np.cumsum(out.view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+class Block:
+    """The texts of a block in one buffer: where windows fit, names of grams, and the suffixes still unsettled."""
+
+    def __init__(self, data, sizes):
+        from spindle.llm.kernel import whole
+
+        self.data = np.frombuffer(data, np.uint8)
+        sizes = np.frombuffer(sizes, np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.fits = whole(len(self.data), self.starts, self.ends, LENGTH)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the sampled grams, the least of each window of LENGTH bytes, and their names."""
+        from spindle.llm.kernel import BYTE, Runs, anchors
+
+        if not self.fits.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.grams = Runs(BYTE[self.data]).each(SIEVE)
+        at = anchors(self.grams, LENGTH - SIEVE + 1, self.fits)
+        return at, self.grams[at]
+
+    def windows(self, at: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """Windows whose least gram occurs again, as places; all others occur once."""
+        from spindle.llm.kernel import ahead
+
+        n = len(self.fits)
+        if not n:
+            return np.zeros(0, np.int64)
+        low, reach = at[again], LENGTH - SIEVE
+        step = np.zeros(n + 1, np.int32)
+        np.add.at(step, np.maximum(low - reach, 0), 1)
+        np.add.at(step, np.minimum(low + 1, n), -1)
+        near = np.flatnonzero((np.cumsum(step[:n]) > 0) & self.fits)
+        least = ahead(self.grams, reach + 1, np.minimum)[near]
+        alive = np.unique(self.grams[low])
+        return near[alive[np.minimum(np.searchsorted(alive, least), len(alive) - 1)] == least] if len(alive) else near[:0]
+
+    def names(self, places: np.ndarray, seed: int) -> np.ndarray:
+        """Initial names, by GRAM bytes, at ``places`` (sorted); reads only the stretches around them."""
+        from spindle.llm.kernel import BYTE, Runs
+
+        if not len(places):
+            return np.zeros(0, np.uint64)
+        edge = np.flatnonzero(np.append(True, np.diff(places) > GRAM))
+        out = np.empty(len(places), np.uint64)
+        for a, b in zip(edge, [*edge[1:], len(places)]):
+            low, high = places[a], places[b - 1] + GRAM
+            out[a:b] = Runs(BYTE[self.data[low:high]] ^ np.uint64(seed)).each(GRAM)[places[a:b] - low]
+        return out
+
+    def wanted(self, windows: np.ndarray, turn: int) -> np.ndarray:
+        """Suffixes whose bucket of this turn decides about ``windows``: those at the offsets of the parts of a window."""
+        width = GRAM << turn
+        flag = np.zeros(len(self.data) + LENGTH, bool)
+        for off in range(0, LENGTH, width):
+            flag[windows + off] = True
+        return np.flatnonzero(flag)
+
+    def buckets(self, windows: np.ndarray, turn: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(suffixes, bucket names) of a turn: a name is made of the suffix's own and of that of the suffix one width on."""
+        from spindle.llm.kernel import mix
+
+        ask = self.wanted(windows, turn)
+        if turn == 0:
+            return ask, self.names(ask, seed)
+        below, name = self.buckets(windows, turn - 1, seed)
+        table = np.empty(len(self.data) + LENGTH, np.uint64)
+        table[below] = name
+        return ask, mix(table[ask] * np.uint64(0x9E3779B97F4A7C15) + table[ask + (GRAM << (turn - 1))])
+
+
+def _pieces(keys: np.ndarray, checks: np.ndarray | None, shards: int, coarse: bool):
+    """(shard, packed names, many flags, packed checks, n) of the distinct names of a block, and each suffix's place among them."""
+    if coarse:
+        keys = keys >> np.uint64(64 - COARSE)
+    if checks is None:
+        order = np.argsort(keys)
+        k = keys[order]
+        new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+        c = None
+    else:
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    many = np.diff(np.append(at, len(k))) > 1
+    k = k[at]
+    c = None if c is None else c[at]
+    # shards are ranges of names, so that their answers put together are in the order of the names
+    shard = (k >> np.uint64(COARSE - 32 if coarse else 32)) * np.uint64(shards) >> np.uint64(32)
+    edge = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+    out = []
+    for s in np.flatnonzero(np.diff(edge)):
+        a, b = edge[s], edge[s + 1]
+        out.append((int(s), _squeeze(k[a:b], COARSE // 8 if coarse else 8), np.packbits(many[a:b]).tobytes(), b"" if c is None else c[a:b].tobytes(), int(b - a)))
+    return out, place
+
+
+PIECES = "shard long, block long, names binary, many binary, checks binary, n long"
+
+
+def _repeated(key, table):
+    """For each block the flags of its names in this shard: whether any other suffix, of any block, is in the bucket."""
+    import pyarrow as pa
+
+    n = table.column("n").to_numpy()
+    keys = np.concatenate([_unsqueeze(x.as_buffer(), k) for x, k in zip(table.column("names"), n)])
+    again = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("many"), n)]).astype(bool)
+    checks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("checks")])
+    order = np.lexsort((checks, keys)) if len(checks) else np.argsort(keys)
+    k = keys[order]
+    same = k[1:] == k[:-1]
+    if len(checks):
+        c = checks[order]
+        same &= c[1:] == c[:-1]
+    edge = np.flatnonzero(np.append(True, ~same))
+    size = np.diff(np.append(edge, len(k)))
+    alive = np.logical_or.reduceat(again[order], edge) | (size > 1)
+    flags = np.empty(len(k), bool)
+    flags[order] = np.repeat(alive, size)
+    at = np.append(0, np.cumsum(n))
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "flags": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary()), "n": table.column("n")})
+
 
+def _flags(answers) -> np.ndarray:
+    """The flags of a block's names, from the answers of all shards."""
+    if not answers.is_valid or not len(answers.values):
+        return np.zeros(0, bool)
+    rows = sorted(answers.as_py(), key=lambda r: r["shard"])
+    return np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = PLAN, carry: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept (binary), spans, row, and the columns ``carry``.
 
-    Every byte covered by a ``plan.length``-byte string that also starts anywhere else is removed. Anchors,
-    chosen by content, are grouped by the hash of their q-gram, then by hashes of longer stretches around them,
-    which each level computes anew from the texts for anchors still undecided (see ``spans``). This replaces
-    refinement by bucket pointers; no identifier of another suffix is used. Texts are dealt by row once, as a bucketed table; later levels move identifiers only.
+def _mask(windows: np.ndarray) -> bytes:
+    """Places as (start, length) of runs."""
+    edge = np.flatnonzero(np.append(True, np.diff(windows) > 1)) if len(windows) else np.zeros(0, np.int64)
+    return np.concatenate([windows[edge], np.diff(np.append(edge, len(windows)))]).astype(np.int32).tobytes()
+
+
+def _unmask(data) -> np.ndarray:
+    start, size = np.frombuffer(data, np.int32).astype(np.int64).reshape(2, -1)
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """One row for each block: its number, the texts, their sizes, and the ids and carried columns as lists."""
+    names = [id_col, *carry]
+    lists = ", ".join(f"c{i} array<{docs.schema[c].dataType.simpleString()}>" for i, c in enumerate(names))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, low + int(np.searchsorted(np.cumsum(sizes[low:]), BLOCK, side="right")))
+                part = batch.slice(low, high - low)
+                data = b"".join(t.as_buffer() for t in part.column(1).cast(pa.binary()))
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in part.columns[3:]]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([data], pa.binary()), pa.array([sizes[low:high].astype(np.int64).tobytes()], pa.binary()), *lists], names=["block", "data", "sizes", *(f"c{i}" for i in range(len(names)))])
+                low = high
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("_n"), text.alias("_t"), F.octet_length(text).alias("_s"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
+    return rows.mapInArrow(run, f"block long, data binary, sizes binary, {lists}")
+
+
+def repeated_windows(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """(block, windows): the starts of all LENGTH-byte strings of a block that also start anywhere else, packed as runs.
+
+    A sieve first: of each window the least SIEVE-gram, a sample of the suffixes chosen by content; a window whose
+    sampled gram is alone is settled. Then the initial buckets are those of GRAM bytes, and each turn refines the
+    buckets by sorting the suffixes on their own bucket's name and on that of the suffix one width on, which
+    doubles the width up to LENGTH. A window is settled as soon as a bucket of any of its parts holds one suffix,
+    and its suffixes are left out of all later turns. Names are fixed functions of the names below, so that no rank
+    travels; a block sends each distinct name once, and gets back one bit for it. The last turn tells strings
+    apart by 64 bits of name and 32 bits of an independent hash of all LENGTH bytes.
+    """
+    turns = (LENGTH // GRAM).bit_length()
+
+    def names_of(block, windows, turn):
+        if turn < 0:
+            return block.anchors()[1], None
+        keys = block.buckets(windows, turn)[1]
+        if turn < turns - 1:
+            return keys, None
+        return keys, (block.buckets(windows, turn, seed=0x1B873593CC9E2D51)[1] >> np.uint64(32)).astype(np.uint32)
+
+    def sent(turn):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    windows = _unmask(batch.column(3)[i].as_buffer()) if turn >= 0 else None
+                    if turn >= 0 and not len(windows):
+                        continue
+                    keys, checks = names_of(Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer()), windows, turn)
+                    out, _ = _pieces(keys, checks, shards, turn < turns - 1)
+                    columns = list(zip(*out)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(out), pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.int64())], names=["shard", "block", "names", "many", "checks", "n"])
+
+        return run
+
+    def settled(turn):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                left = []
+                for i in range(batch.num_rows):
+                    windows = _unmask(batch.column(4)[i].as_buffer()) if turn >= 0 else None
+                    flags = _flags(batch.column(3)[i])
+                    if not len(flags):
+                        left.append(_mask(np.zeros(0, np.int64)))
+                        continue
+                    block = Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer())
+                    if turn < 0:
+                        at, keys = block.anchors()
+                        windows = block.windows(at, flags[_pieces(keys, None, shards, True)[1]])
+                    else:
+                        keys, checks = names_of(block, windows, turn)
+                        alive = np.zeros(len(block.data) + LENGTH, bool)
+                        alive[block.wanted(windows, turn)] = flags[_pieces(keys, checks, shards, turn < turns - 1)[1]]
+                        width = GRAM << turn
+                        windows = windows[np.logical_and.reduce([alive[windows + off] for off in range(0, LENGTH, width)])]
+                    left.append(_mask(windows))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary())], names=["block", "windows"])
+
+        return run
+
+    state, texts = None, blocks.select("block", "data", "sizes")
+    for turn in range(-1, turns):
+        ask = texts if state is None else texts.join(state.hint("shuffle_hash"), "block").select("block", "data", "sizes", "windows")
+        answers = ask.mapInArrow(sent(turn), PIECES).groupBy("shard").applyInArrow(_repeated, "block long, shard long, flags binary, n long")
+        answers = scratch.save(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "flags", "n")).alias("answers")), "answers")  # a bit for each name of a block
+        told = texts.join(answers.hint("shuffle_hash"), "block", "left")
+        if state is not None:
+            told = told.join(state.hint("shuffle_hash"), "block")
+        new = scratch.save(told.select("block", "data", "sizes", "answers", *(["windows"] if state is not None else [])).mapInArrow(settled(turn), "block long, windows binary"), "windows")
+        scratch.drop(answers, *([state] if state is not None else []))
+        scratch.release()
+        state = new
+    return state
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), characters: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept (binary), spans (start, end), and the columns ``carry``.
+
+    Every byte covered by a LENGTH-byte string that also starts anywhere else, same text included, is removed;
+    strings are judged on the input. Texts are dealt once, in blocks, as a bucketed table; each turn of the
+    refinement (``repeated_windows``) reads them where they lie and shuffles bucket names only. A name that a
+    third of all texts has is sent once by each block.
 
     Null and empty texts have 0 bytes; texts shorter than the string have no repeats; rows with equal ids are
-    documents of their own; cuts may fall within a character, which is why ``kept`` is binary. Strings are
-    compared by 64-bit hashes of the whole string and of its bucket, chosen independently of the data.
+    documents of their own; other columns are ignored. Cuts may fall within a character, which is why ``kept`` is
+    binary; with ``characters`` it is a string that leaves out the characters cut in two.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
-    texts = scratch.bucketed(texts, "row", parts(spark), "texts")
-    nodes = scratch.save(roots(texts, plan), "nodes")
-    spans = repeated_spans(nodes, texts, plan, scratch, earlier=False)
-    scratch.drop(nodes)
-    kind = docs.schema[id_col].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards = max(parts(spark), -(-int(size) // SHARD))
+    blocks = scratch.bucketed(_blocks(docs, id_col, text_col, carry), "block", max(parts(spark), -(-int(size) // DEAL)), "blocks")
+    state = repeated_windows(blocks, shards, scratch)
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *carry)]
+    names = [id_col, *carry]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, found in zip(batch.column(2), batch.column(3)):
-                data = text.as_py().encode()
-                runs: list[tuple[int, int]] = []
-                if found.is_valid:
-                    s, e = (found.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-                    runs = list(zip(*(c.tolist() for c in merged(s, e, len(data)))))
-                kept, at = [], 0
-                for s, e in runs:
-                    kept.append(data[at:s])
-                    at = e
-                kept.append(data[at:])
-                for column, value in zip(out, (len(data), sum(e - s for s, e in runs), len(runs), b"".join(kept), [{"start": s, "end": e} for s, e in runs])):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, out, kinds), *batch.columns[4:], batch.column(0)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans", *carry, "row"])
-
-    more = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return marked(texts, spans).select("row", "id", "text", "spans", *carry).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>, {more}row long")
+            for i in range(batch.num_rows):
+                block, windows = Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer()), _unmask(batch.column(3)[i].as_buffer())
+                edge = np.flatnonzero(np.append(True, np.diff(windows) > LENGTH)) if len(windows) else np.zeros(0, np.int64)
+                low, high = windows[edge], (windows[np.append(edge[1:], len(windows)) - 1] + LENGTH if len(windows) else windows)
+                # runs that touch at the end of one text and the start of the next are two
+                doc = np.searchsorted(block.starts, low, side="right") - 1
+                last = np.searchsorted(block.starts, np.maximum(high - 1, 0), side="right") - 1
+                spans: list[list[tuple[int, int]]] = [[] for _ in block.starts]
+                for a, b, d, e in zip(low.tolist(), high.tolist(), doc.tolist(), last.tolist()):
+                    for k in range(d, e + 1):
+                        s, t = max(a, int(block.starts[k])), min(b, int(block.ends[k]))
+                        if s < t:
+                            spans[k].append((s - int(block.starts[k]), t - int(block.starts[k])))
+                data = block.data.tobytes()
+                out: list[list] = [[], [], [], [], []]
+                for s, e, runs in zip(block.starts.tolist(), block.ends.tolist(), spans):
+                    kept, at = [], s
+                    for a, b in runs:
+                        kept.append(data[at : s + a])
+                        at = s + b
+                    kept.append(data[at:e])
+                    kept = b"".join(kept)
+                    for column, value in zip(out, (e - s, sum(b - a for a, b in runs), len(runs), kept.decode("utf-8", "ignore") if characters else kept, [{"start": a, "end": b} for a, b in runs])):
+                        column.append(value)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if characters else pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+                lists = [batch.column(4 + k).slice(i, 1).flatten() for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([lists[0], *map(pa.array, out, types), *lists[1:]], names=["_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", *(f"_c{k}" for k in range(len(carry)))])
+
+    more = "".join(f", _c{k} {kind}" for k, kind in enumerate(kinds[1:]))
+    done = blocks.join(state.hint("shuffle_hash"), "block").select("block", "data", "sizes", "windows", *(f"c{k}" for k in range(len(names))))
+    done = done.mapInArrow(run, f"_id {kinds[0]}, n_bytes long, n_removed long, n_spans long, kept {'string' if characters else 'binary'}, spans array<struct<start:long,end:long>>{more}")
+    return done.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", "spans", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
