@@ -47,7 +47,7 @@ class Scratch:
         table = f"spindle_{name}_{uuid.uuid4().hex[:12]}"
         dealt = df.repartition(buckets, key)
         writer = (dealt.sortWithinPartitions(key) if ordered else dealt).write.bucketBy(buckets, key)
-        (writer.sortBy(key) if ordered else writer).option("path", path).format("parquet").saveAsTable(table)
+        (writer.sortBy(key) if ordered else writer).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
         out = self.spark.table(table)
         out.schema  # resolved now: the files stay, and no name is left in the catalogue
         self.spark.sql(f"DROP TABLE {table}")

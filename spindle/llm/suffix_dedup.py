@@ -15,7 +15,7 @@ SIEVE = 64
 #: Bytes of text of a block, the unit that a task sorts at once; a longer text is a block of its own.
 BLOCK = 1 << 20
 #: Bytes of text for each shard of bucket names, and for each bucket of the table of blocks.
-SHARD, DEAL = 4 << 20, 24 << 20
+SHARD, DEAL = 4 << 20, 12 << 20
 #: Bits of a bucket's name in all rounds but the last. Names only sieve there: a clash keeps a suffix for the next round.
 COARSE = 48
 
@@ -144,7 +144,7 @@ def _repeated(key, table):
     n = table.column("n").to_numpy()
     keys = np.concatenate([_unsqueeze(x.as_buffer(), k) for x, k in zip(table.column("names"), n)])
     again = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("many"), n)]).astype(bool)
-    checks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("checks")])
+    checks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("checks")])
     order = np.lexsort((checks, keys)) if len(checks) else np.argsort(keys)
     k = keys[order]
     same = k[1:] == k[:-1]
@@ -212,7 +212,7 @@ def repeated_windows(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFr
     doubles the width up to LENGTH. A window is settled as soon as a bucket of any of its parts holds one suffix,
     and its suffixes are left out of all later turns. Names are fixed functions of the names below, so that no rank
     travels; a block sends each distinct name once, and gets back one bit for it. The last turn tells strings
-    apart by 64 bits of name and 32 bits of an independent hash of all LENGTH bytes.
+    apart by 64 bits of name and 16 bits of an independent hash of all LENGTH bytes.
     """
     turns = (LENGTH // GRAM).bit_length()
 
@@ -222,7 +222,7 @@ def repeated_windows(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFr
         keys = block.buckets(windows, turn)[1]
         if turn < turns - 1:
             return keys, None
-        return keys, (block.buckets(windows, turn, seed=0x1B873593CC9E2D51)[1] >> np.uint64(32)).astype(np.uint32)
+        return keys, (block.buckets(windows, turn, seed=0x1B873593CC9E2D51)[1] >> np.uint64(48)).astype(np.uint16)
 
     def sent(turn):
         def run(batches):
