@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,11 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more; its listeners let go of the last one a little late."""
+        for pause in (0.4, 0.2):
+            gc.collect()
+            time.sleep(pause)
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *dfs: DataFrame) -> None:
         """Removes what ``save`` or ``bucketed`` wrote, once nothing lazy reads it any more."""

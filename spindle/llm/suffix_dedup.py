@@ -71,17 +71,18 @@ class Block:
         alive = np.unique(self.grams[low])
         return near[alive[np.minimum(np.searchsorted(alive, least), len(alive) - 1)] == least] if len(alive) else near[:0]
 
-    def names(self, places: np.ndarray, seed: int) -> np.ndarray:
-        """Initial names, by GRAM bytes, at ``places`` (sorted); reads only the stretches around them."""
+    def names(self, places: np.ndarray, width: int = GRAM, symbols: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of ``width`` bytes at ``places`` (sorted); reads only the stretches around them."""
         from spindle.llm.kernel import BYTE, Runs
 
+        symbols = BYTE if symbols is None else symbols
         if not len(places):
             return np.zeros(0, np.uint64)
-        edge = np.flatnonzero(np.append(True, np.diff(places) > GRAM))
+        edge = np.flatnonzero(np.append(True, np.diff(places) > width))
         out = np.empty(len(places), np.uint64)
         for a, b in zip(edge, [*edge[1:], len(places)]):
-            low, high = places[a], places[b - 1] + GRAM
-            out[a:b] = Runs(BYTE[self.data[low:high]] ^ np.uint64(seed)).each(GRAM)[places[a:b] - low]
+            low, high = places[a], places[b - 1] + width
+            out[a:b] = Runs(symbols[self.data[low:high]]).each(width)[places[a:b] - low]
         return out
 
     def wanted(self, windows: np.ndarray, turn: int) -> np.ndarray:
@@ -92,19 +93,26 @@ class Block:
             flag[windows + off] = True
         return np.flatnonzero(flag)
 
-    def buckets(self, windows: np.ndarray, turn: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def buckets(self, windows: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
         """(suffixes, bucket names) of a turn: a name is made of the suffix's own and of that of the suffix one width on."""
         from spindle.llm.kernel import mix
 
         ask = self.wanted(windows, turn)
         if turn == 0:
-            return ask, self.names(ask, seed)
-        below, name = self.buckets(windows, turn - 1, seed)
+            return ask, self.names(ask)
+        below, name = self.buckets(windows, turn - 1)
         table = np.empty(len(self.data) + LENGTH, np.uint64)
         table[below] = name
         return ask, mix(table[ask] * np.uint64(0x9E3779B97F4A7C15) + table[ask + (GRAM << (turn - 1))])
 
 
+def _sorted(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The order by name and check; the checks of equal names hardly ever differ, so they are looked at first."""
+    order = np.argsort(keys)
+    k, c = keys[order], checks[order]
+    return np.lexsort((checks, keys)) if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any() else order
+
+
 def _pieces(keys: np.ndarray, checks: np.ndarray | None, shards: int, coarse: bool):
     """(shard, packed names, many flags, packed checks, n) of the distinct names of a block, and each suffix's place among them."""
     if coarse:
@@ -115,7 +123,7 @@ def _pieces(keys: np.ndarray, checks: np.ndarray | None, shards: int, coarse: bo
         new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
         c = None
     else:
-        order = np.lexsort((checks, keys))
+        order = _sorted(keys, checks)
         k, c = keys[order], checks[order]
         new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
     place = np.empty(len(keys), np.int64)
@@ -141,11 +149,13 @@ def _repeated(key, table):
     """For each block the flags of its names in this shard: whether any other suffix, of any block, is in the bucket."""
     import pyarrow as pa
 
+    if key[0].as_py() < 0:  # what a block keeps for itself
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "flags": table.column("names"), "n": table.column("n")})
     n = table.column("n").to_numpy()
     keys = np.concatenate([_unsqueeze(x.as_buffer(), k) for x, k in zip(table.column("names"), n)])
     again = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("many"), n)]).astype(bool)
     checks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("checks")])
-    order = np.lexsort((checks, keys)) if len(checks) else np.argsort(keys)
+    order = _sorted(keys, checks) if len(checks) else np.argsort(keys)
     k = keys[order]
     same = k[1:] == k[:-1]
     if len(checks):
@@ -160,12 +170,12 @@ def _repeated(key, table):
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "flags": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary()), "n": table.column("n")})
 
 
-def _flags(answers) -> np.ndarray:
-    """The flags of a block's names, from the answers of all shards."""
-    if not answers.is_valid or not len(answers.values):
-        return np.zeros(0, bool)
-    rows = sorted(answers.as_py(), key=lambda r: r["shard"])
-    return np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
+def _told(answers) -> tuple[np.ndarray | None, np.ndarray]:
+    """The windows that a block kept for itself, and the flags of its names from all shards."""
+    rows = sorted(answers.as_py(), key=lambda r: r["shard"]) if answers.is_valid else []
+    own = [_unmask(r["flags"]) for r in rows if r["shard"] < 0]
+    flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]) for r in rows if r["shard"] >= 0]
+    return (own[0] if own else None), (np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool))
 
 
 def _mask(windows: np.ndarray) -> bytes:
@@ -203,8 +213,36 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...])
     return rows.mapInArrow(run, f"block long, data binary, sizes binary, {lists}")
 
 
-def repeated_windows(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
-    """(block, windows): the starts of all LENGTH-byte strings of a block that also start anywhere else, packed as runs.
+#: Turns of refinement.
+TURNS = (LENGTH // GRAM).bit_length()
+
+
+def _names_of(block: Block, windows: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Bucket names of a turn, and in the last one the check besides, a hash of other symbols over the whole string."""
+    keys = block.buckets(windows, turn)[1]
+    if turn < TURNS - 1:
+        return keys, None
+    from spindle.llm.kernel import BYTE
+
+    return keys, (block.names(windows, LENGTH, BYTE[::-1] ^ np.uint64(0x1B873593CC9E2D50)) >> np.uint64(48)).astype(np.uint16)
+
+
+def unsettled(block: Block, answers, turn: int, shards: int) -> np.ndarray:
+    """The windows of a block still unsettled once the answers of a turn (-1: the sieve) are in."""
+    windows, flags = _told(answers)
+    if not len(flags):
+        return np.zeros(0, np.int64)
+    if turn < 0:
+        at, keys = block.anchors()
+        return block.windows(at, flags[_pieces(keys, None, shards, True)[1]])
+    keys, checks = _names_of(block, windows, turn)
+    alive = np.zeros(len(block.data) + LENGTH, bool)
+    alive[block.wanted(windows, turn)] = flags[_pieces(keys, checks, shards, turn < TURNS - 1)[1]]
+    return windows[np.logical_and.reduce([alive[windows + off] for off in range(0, LENGTH, GRAM << turn)])]
+
+
+def refined(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """(block, answers) of the last turn, from which ``unsettled`` tells the LENGTH-byte strings that occur again.
 
     A sieve first: of each window the least SIEVE-gram, a sample of the suffixes chosen by content; a window whose
     sampled gram is alone is settled. Then the initial buckets are those of GRAM bytes, and each turn refines the
@@ -214,72 +252,42 @@ def repeated_windows(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFr
     travels; a block sends each distinct name once, and gets back one bit for it. The last turn tells strings
     apart by 64 bits of name and 16 bits of an independent hash of all LENGTH bytes.
     """
-    turns = (LENGTH // GRAM).bit_length()
-
-    def names_of(block, windows, turn):
-        if turn < 0:
-            return block.anchors()[1], None
-        keys = block.buckets(windows, turn)[1]
-        if turn < turns - 1:
-            return keys, None
-        return keys, (block.buckets(windows, turn, seed=0x1B873593CC9E2D51)[1] >> np.uint64(48)).astype(np.uint16)
 
-    def sent(turn):
+    def step(turn):
         def run(batches):
             import pyarrow as pa
 
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    windows = _unmask(batch.column(3)[i].as_buffer()) if turn >= 0 else None
-                    if turn >= 0 and not len(windows):
-                        continue
-                    keys, checks = names_of(Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer()), windows, turn)
-                    out, _ = _pieces(keys, checks, shards, turn < turns - 1)
-                    columns = list(zip(*out)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(out), pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.int64())], names=["shard", "block", "names", "many", "checks", "n"])
-
-        return run
-
-    def settled(turn):
-        def run(batches):
-            import pyarrow as pa
+            from spindle.llm.kernel import tidy
 
             for batch in batches:
-                left = []
                 for i in range(batch.num_rows):
-                    windows = _unmask(batch.column(4)[i].as_buffer()) if turn >= 0 else None
-                    flags = _flags(batch.column(3)[i])
-                    if not len(flags):
-                        left.append(_mask(np.zeros(0, np.int64)))
-                        continue
-                    block = Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer())
+                    number, block = batch.column(0)[i].as_py(), Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer())
+                    own = []
                     if turn < 0:
-                        at, keys = block.anchors()
-                        windows = block.windows(at, flags[_pieces(keys, None, shards, True)[1]])
+                        keys, checks = block.anchors()[1], None
                     else:
-                        keys, checks = names_of(block, windows, turn)
-                        alive = np.zeros(len(block.data) + LENGTH, bool)
-                        alive[block.wanted(windows, turn)] = flags[_pieces(keys, checks, shards, turn < turns - 1)[1]]
-                        width = GRAM << turn
-                        windows = windows[np.logical_and.reduce([alive[windows + off] for off in range(0, LENGTH, width)])]
-                    left.append(_mask(windows))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary())], names=["block", "windows"])
+                        windows = unsettled(block, batch.column(3)[i], turn - 1, shards)
+                        if not len(windows):
+                            continue
+                        own = [(-1 - number % shards, _mask(windows), b"", b"", -1)]
+                        keys, checks = _names_of(block, windows, turn)
+                    out = _pieces(keys, checks, shards, turn < TURNS - 1)[0] + own
+                    columns = list(zip(*out)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([number] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:4]), pa.array(columns[4], pa.int64())], names=["shard", "block", "names", "many", "checks", "n"])
+            tidy()
 
         return run
 
-    state, texts = None, blocks.select("block", "data", "sizes")
-    for turn in range(-1, turns):
-        ask = texts if state is None else texts.join(state.hint("shuffle_hash"), "block").select("block", "data", "sizes", "windows")
-        answers = ask.mapInArrow(sent(turn), PIECES).groupBy("shard").applyInArrow(_repeated, "block long, shard long, flags binary, n long")
-        answers = scratch.save(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "flags", "n")).alias("answers")), "answers")  # a bit for each name of a block
-        told = texts.join(answers.hint("shuffle_hash"), "block", "left")
-        if state is not None:
-            told = told.join(state.hint("shuffle_hash"), "block")
-        new = scratch.save(told.select("block", "data", "sizes", "answers", *(["windows"] if state is not None else [])).mapInArrow(settled(turn), "block long, windows binary"), "windows")
-        scratch.drop(answers, *([state] if state is not None else []))
+    answers, texts = None, blocks.select("block", "data", "sizes")
+    for turn in range(-1, TURNS):
+        ask = texts if answers is None else texts.join(answers.hint("shuffle_hash"), "block").select("block", "data", "sizes", "answers")
+        found = ask.mapInArrow(step(turn), PIECES).groupBy("shard").applyInArrow(_repeated, "block long, shard long, flags binary, n long")
+        new = scratch.save(found.groupBy("block").agg(F.collect_list(F.struct("shard", "flags", "n")).alias("answers")), "answers")  # a bit for each name of a block
+        scratch.drop(*([answers] if answers is not None else []))
+        del ask, found
         scratch.release()
-        state = new
-    return state
+        answers = new
+    return answers
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), characters: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -287,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte covered by a LENGTH-byte string that also starts anywhere else, same text included, is removed;
     strings are judged on the input. Texts are dealt once, in blocks, as a bucketed table; each turn of the
-    refinement (``repeated_windows``) reads them where they lie and shuffles bucket names only. A name that a
+    refinement (``refined``) reads them where they lie and shuffles bucket names only. A name that a
     third of all texts has is sent once by each block.
 
     Null and empty texts have 0 bytes; texts shorter than the string have no repeats; rows with equal ids are
@@ -299,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(parts(spark), -(-int(size) // SHARD))
     blocks = scratch.bucketed(_blocks(docs, id_col, text_col, carry), "block", max(parts(spark), -(-int(size) // DEAL)), "blocks")
-    state = repeated_windows(blocks, shards, scratch)
+    answers = refined(blocks, shards, scratch)
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *carry)]
     names = [id_col, *carry]
 
@@ -308,7 +316,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for batch in batches:
             for i in range(batch.num_rows):
-                block, windows = Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer()), _unmask(batch.column(3)[i].as_buffer())
+                block = Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer())
+                windows = unsettled(block, batch.column(3)[i], TURNS - 1, shards)
                 edge = np.flatnonzero(np.append(True, np.diff(windows) > LENGTH)) if len(windows) else np.zeros(0, np.int64)
                 low, high = windows[edge], (windows[np.append(edge[1:], len(windows)) - 1] + LENGTH if len(windows) else windows)
                 # runs that touch at the end of one text and the start of the next are two
@@ -336,7 +345,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([lists[0], *map(pa.array, out, types), *lists[1:]], names=["_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", *(f"_c{k}" for k in range(len(carry)))])
 
     more = "".join(f", _c{k} {kind}" for k, kind in enumerate(kinds[1:]))
-    done = blocks.join(state.hint("shuffle_hash"), "block").select("block", "data", "sizes", "windows", *(f"c{k}" for k in range(len(names))))
+    done = blocks.join(answers.hint("shuffle_hash"), "block", "left").select("block", "data", "sizes", "answers", *(f"c{k}" for k in range(len(names))))
     done = done.mapInArrow(run, f"_id {kinds[0]}, n_bytes long, n_removed long, n_spans long, kept {'string' if characters else 'binary'}, spans array<struct<start:long,end:long>>{more}")
     return done.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", "spans", *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)])
 
