@@ -42,9 +42,10 @@ def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return out.mapInArrow(run, out.schema)
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ``ids`` (one column named ``key``)."""
-    return _flagged(rows, ids, key).filter("_may = 1").drop("_may").join(ids, key, "left_semi")
+def among(rows: DataFrame, ids: DataFrame, key: str, exact: bool = True) -> DataFrame:
+    """Rows whose key is in ``ids`` (one column named ``key``); if not ``exact``, a few others may stay."""
+    may = _flagged(rows, ids, key).filter("_may = 1").drop("_may")
+    return may.join(ids, key, "left_semi") if exact else may
 
 
 def outside(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.llm.bits import among
 from spindle.llm.graph import components
+from spindle.llm.kernel import tidy
 from spindle.llm.scratch import Scratch, parts
 
 #: Shingle frequencies are counted in 2**18 hashed buckets: a fixed 1 MB, whatever the input. They only order shingles.
@@ -14,8 +16,8 @@ FREQ_BITS = 18
 SLICES = 16
 #: Cells of the suffix filter's histogram of a set.
 CELLS = 64
-#: Prefix entries that one task sorts.
-SHARD = 1 << 21
+#: Prefix entries of a shard, bytes of text of a block, and pairs that a task compares at once.
+SHARD, BLOCK, PAIRS = 1 << 20, 1 << 20, 1 << 10
 SHINGLE = 5
 #: Pivot rounds at most before the join of what is left, pivots of a group in a round after the first, and pairs
 #: for each member of an unsettled group up to which that join comes at once. They change the cost, not the result.
@@ -57,10 +59,12 @@ def set_key(s: np.ndarray) -> int:
 
 def _survey(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """A row (id, n, k) for each document, and from each task its counts of shingles by bucket, in slices."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs_id = docs.schema[id_col].dataType
+    kind = docs_id.simpleString()
 
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
         counts = np.zeros(1 << FREQ_BITS, np.int64)
         for batch in batches:
@@ -74,17 +78,12 @@ def _survey(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
         step = len(counts) // SLICES
         some = [i for i in range(SLICES) if counts[i * step : (i + 1) * step].any()]
         none = pa.nulls(len(some))
-        yield pa.RecordBatch.from_arrays([none.cast(batch.column(0).type) if some else pa.array([], pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(some, pa.int32()), pa.array([counts[i * step : (i + 1) * step].tobytes() for i in some], pa.binary())], names=["id", "n", "k", "slice", "counts"]) if some else pa.RecordBatch.from_pylist([], pa.schema([("id", _arrow(kind)), ("n", pa.int64()), ("k", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())]))
+        yield pa.RecordBatch.from_arrays([none.cast(to_arrow_type(docs_id)), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(some, pa.int32()), pa.array([counts[i * step : (i + 1) * step].tobytes() for i in some], pa.binary())], names=["id", "n", "k", "slice", "counts"])
+        tidy()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, k long, slice int, counts binary")
 
 
-def _arrow(kind: str):
-    import pyarrow as pa
-
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-
-
 def _frequencies(survey: DataFrame) -> np.ndarray:
     """The summed bucket counts: SLICES rows come to the driver, 2 MB in all."""
 
@@ -101,127 +100,119 @@ def _frequencies(survey: DataFrame) -> np.ndarray:
     return out
 
 
-def _shared_prefixes(docs: DataFrame, freq: np.ndarray, shards: int, percent: int, text_col: str, width: int) -> DataFrame:
+def _prefix(s: np.ndarray, f: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles that any set of enough similarity shares one of, rarest first: by bucket frequency, then by hash."""
+    most = len(s) - -(-percent * len(s) // 100) + 1
+    return s[np.lexsort((s, f[(s >> np.uint64(64 - FREQ_BITS)).astype(np.int64)]))[:most]]
+
+
+def _slices(batches, text: int):
+    """Slices of batches with about BLOCK bytes of text each."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + BLOCK, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
+def _shared_prefixes(docs: DataFrame, freq: np.ndarray, shards: int, percent: int, text_col: str, width: int, scratch: Scratch) -> DataFrame:
     """(token, k, n, pos): prefix shingles that at least two different sets have, rarest first in each set.
 
-    Tasks send sorted packed arrays to the token's shard, where one sort finds the repeated tokens.
+    First each block of texts sends its distinct prefix shingles as packed names and gets back one bit for each:
+    whether another text has it too. Only those that do are shuffled as rows, with their sets.
     """
-    by_freq = docs.sparkSession.sparkContext.broadcast(freq)
+    from spindle.llm.names import PIECES, batch_of, pieces, repeated, told
 
-    def entries(batches):
-        import pyarrow as pa
+    spark = docs.sparkSession
+    by_freq = spark.sparkContext.broadcast(freq)
+    numbered = scratch.bucketed(docs.select(F.monotonically_increasing_id().alias("block"), F.col(text_col).alias("text")).mapInArrow(_gathered, "block long, text array<string>"), "block", shards, "blocks")
 
+    def prefixes(texts):
         f = by_freq.value
+        sets = [s for _, s in shingle_sets(texts, width)]
+        return sets, [_prefix(s, f, percent) if len(s) else s for s in sets]
+
+    def ask(batches):
         for batch in batches:
-            token, key, at = [], [], []
-
-            def flush():
-                t, k, p = np.concatenate(token), np.concatenate(key), np.concatenate(at)
-                shard = (t % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((k, t, shard))
-                t, k, p, shard = t[order], k[order], p[order], shard[order]
-                keep = np.ones(len(t), bool)
-                keep[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-                t, k, p, shard = t[keep], k[keep], p[keep], shard[keep]
-                edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                ends = np.append(edge[1:], len(t))
-                return pa.RecordBatch.from_arrays([pa.array(shard[edge]), *(pa.array([x[a:b].tobytes() for a, b in zip(edge, ends)], pa.binary()) for x in (t, k, p))], names=["shard", "token", "k", "at"])
-
-            n = 0
-            for _, s in shingle_sets(batch.column(0), width):
-                if len(s) == 0:
-                    continue
-                need = -(-percent * len(s) // 100)
-                most = len(s) - need + 1
-                # rarest first: by bucket frequency, then by hash; the same order in every document
-                order = np.lexsort((s, f[(s >> np.uint64(64 - FREQ_BITS)).astype(np.int64)]))[:most]
-                token.append(s[order])
-                key.append(np.full(most, set_key(s), np.int64))
-                at.append(np.arange(most, dtype=np.uint32).astype(np.uint64) << np.uint64(32) | np.uint64(len(s)))
-                n += most
-                if n > 1 << 19:
-                    yield flush()
-                    token, key, at, n = [], [], [], 0
-            if n:
-                yield flush()
-
-    def repeated(key, table):
+            for i in range(batch.num_rows):
+                _, found = prefixes(batch.column(1)[i].values)
+                yield batch_of(batch.column(0)[i].as_py(), pieces(np.concatenate([np.zeros(0, np.uint64), *found]), None, shards, True)[0])
+        tidy()
+
+    def rows(batches):
         import pyarrow as pa
 
-        t, k, p = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("token", np.uint64), ("k", np.int64), ("at", np.uint64)))
-        order = np.lexsort((k, t))
-        t, k, p = t[order], k[order], p[order]
-        first = np.ones(len(t), bool)
-        first[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-        t, k, p = t[first], k[first], p[first]
-        again = np.zeros(len(t), bool)
-        same = t[1:] == t[:-1]
-        again[1:] |= same
-        again[:-1] |= same
-        t, k, p = t[again], k[again], p[again]
-        return pa.table({"token": t.view(np.int64), "k": k, "n": (p & np.uint64(0xFFFFFFFF)).astype(np.int64), "pos": (p >> np.uint64(32)).astype(np.int64)})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sets, found = prefixes(batch.column(1)[i].values)
+                token = np.concatenate([np.zeros(0, np.uint64), *found])
+                if not len(token):
+                    continue
+                again = told(batch.column(2)[i])[1][pieces(token, None, shards, True)[1]]
+                sizes = np.array([len(x) for x in found])
+                key = np.repeat(np.array([set_key(s) if len(s) else 0 for s in sets], np.int64), sizes)
+                n = np.repeat(np.array([len(s) for s in sets]), sizes)
+                pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                # equal sets of a block are one
+                first = np.sort(np.unique(key, return_index=True)[1])
+                keep = again & np.isin(np.arange(len(token)) - pos, first)
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep].astype(np.int64)), pa.array(pos[keep].astype(np.int64))], names=["token", "k", "n", "pos"])
+        tidy()
+
+    answers = numbered.mapInArrow(ask, PIECES).groupBy("shard").applyInArrow(repeated, "block long, shard long, flags binary, n long")
+    answers = scratch.save(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "flags", "n")).alias("answers")), "answers")  # a bit for each name of a block
+    scratch.release()
+    some = numbered.join(answers.hint("shuffle_hash"), "block").select("block", "text", "answers").mapInArrow(rows, "token long, k long, n long, pos long")
+    some = scratch.save(some.groupBy("token", "k").agg(F.max("n").alias("n"), F.min("pos").alias("pos")), "some")
+    scratch.release()
+    several = some.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
+    out = scratch.save(some.join(several, "token", "left_semi"), "shared")
+    by_freq.destroy()
+    scratch.drop(numbered, answers, some)
+    return out
+
 
-    packed = docs.select(text_col).mapInArrow(entries, "shard long, token binary, k binary, at binary")
-    return packed.groupBy("shard").applyInArrow(repeated, "token long, k long, n long, pos long")
+def _gathered(batches):
+    """Texts as lists of about BLOCK bytes; null texts are left out."""
+    import pyarrow as pa
+
+    for part in _slices(batches, 1):
+        texts = part.column(1).drop_null()
+        yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)], names=["block", "text"])
+    tidy()
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(k, cells, shingles) of the wanted (k, least id): a third reading of the texts.
+def _sets_of(docs: DataFrame, wanted: DataFrame, shards: int, scratch: Scratch, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(k, cells, text) of the wanted (k, least id), dealt by k: later joins move pairs only.
 
     A fixed-size bit table of the wanted pairs (2 MB, from any input) drops nearly all others before the
     shuffle; a join then drops the rest, so the table only saves work.
     """
-    bits = 1 << 24
-
-    def mark(batches):
-        import pyarrow as pa
-
-        held = np.zeros(bits, bool)
-        for batch in batches:
-            held[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)] = True
-        packed = np.packbits(held).reshape(SLICES, -1)
-        some = [i for i in range(SLICES) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["slice", "bits"])
-
-    def either(key, table):
-        import pyarrow as pa
-
-        x = np.bitwise_or.reduce([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")])
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([x.tobytes()], pa.binary())})
-
-    table = np.zeros((SLICES, bits // 8 // SLICES), np.uint8)
-    for r in wanted.select(F.xxhash64("k", "id")).mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(either, "slice int, bits binary").collect():
-        table[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def keys(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _slices(batches, 1):
             found = list(shingle_sets(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) if len(s) else None for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "k", "shingles"])
+            keep = [i for i, s in found if len(s)]
+            at = pa.array(keep, pa.int64())
+            cells = [np.bincount((found[i][1] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes() for i in keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([set_key(found[i][1]) for i in keep], pa.int64()), pa.array(cells, pa.binary()), batch.column(1).take(at)], names=["id", "k", "cells", "text"])
+        tidy()
 
-    def admitted(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        held = shared.value
-        for batch in batches:
-            h = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)
-            keep = (held[(h >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (h & np.uint64(7))).astype(np.uint8)) & 1
-            b = batch.filter(pa.array(keep.astype(bool)))
-            b = b.filter(pc.is_valid(b.column(1)))
-            cells = [np.bincount((np.frombuffer(s.as_buffer(), np.uint64) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes() for s in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells, pa.binary())], names=["id", "k", "shingles", "cells"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(keys, f"id {kind}, k long, cells binary, text string").withColumn("h", F.xxhash64("k", "id"))
+    rows = among(rows, wanted.select(F.xxhash64("k", "id").alias("h")), "h", exact=False)
+    rows = rows.join(wanted, (rows["k"] == wanted["k"]) & rows["id"].eqNullSafe(wanted["id"]), "left_semi").select("k", "cells", "text").dropDuplicates(["k"])
+    return scratch.bucketed(rows, "k", shards, "sets")
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(keys, f"id {kind}, k long, shingles binary").withColumn("h", F.xxhash64("k", "id")).mapInArrow(admitted, f"id {kind}, k long, shingles binary, cells binary")
-    rows = rows.groupBy("k", "id").agg(F.first("shingles").alias("shingles"), F.first("cells").alias("cells"))
-    return rows.join(wanted, (rows["k"] == wanted["k"]) & rows["id"].eqNullSafe(wanted["id"]), "left_semi").select("k", "shingles", "cells")
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Which of the pairs (a, b) reach the threshold: suffix filter on the cells, then the sets themselves, once a pair."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """Which of the pairs (a, b) reach the threshold: suffix filter on the cells, then the sets of both texts, once a pair."""
 
     def cells(batches):
         import pyarrow as pa
@@ -236,21 +227,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def exact(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in (b.slice(low, PAIRS) for b in batches for low in range(0, b.num_rows, PAIRS)):
+            sides = []
+            for c in (2, 3):
+                coded = pc.dictionary_encode(batch.column(c))
+                sets = [s for _, s in shingle_sets(coded.dictionary, width)]
+                sides.append([sets[i] for i in coded.indices.to_pylist()])
             keep = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+            for x, y in zip(*sides):
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 keep.append((100 + percent) * both >= percent * (len(x) + len(y)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     side = lambda n, c: sets.select(F.col("k").alias(n), F.col(c).alias(f"{n}_{c}"))
     near = pairs.select("a", "b").join(side("a", "cells"), "a").join(side("b", "cells"), "b").select("a", "b", "a_cells", "b_cells").mapInArrow(cells, "a long, b long")
-    return near.join(side("b", "shingles"), "b").join(side("a", "shingles"), "a").select("a", "b", "a_shingles", "b_shingles").mapInArrow(exact, "a long, b long")
+    near = scratch.save(near, "near")
+    both = near.join(side("b", "text"), "b").join(side("a", "text"), "a").select("a", "b", "a_text", "b_text")
+    out = scratch.save(both.mapInArrow(exact, "a long, b long"), "found")
+    scratch.drop(near)
+    scratch.release()
+    return out
 
 
 def _merged(labels: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -283,14 +285,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = survey.filter("slice is null").select("id", "n", "k")
     entries = rows.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     shards = max(parts(spark), -(-int(entries) // SHARD))
-    shared = scratch.save(_shared_prefixes(docs, freq, shards, percent, text_col, width), "shared")
+    shared = _shared_prefixes(docs, freq, shards, percent, text_col, width, scratch)
     keys = scratch.save(rows.filter("k is not null").groupBy("k").agg(F.min("id").alias("id")), "keys")
     wanted = scratch.save(shared.select("k").distinct().join(keys, "k"), "wanted")
-    sets = scratch.save(_sets_of(docs, wanted, scratch, id_col, text_col, width), "sets")
+    sets = _sets_of(docs, wanted, shards, scratch, id_col, text_col, width)
 
     labels, seen, cost = scratch.save(wanted.select("k", F.col("k").alias("c")), "labels"), None, None
     for turn in range(ROUNDS + 1):
-        members = shared.join(labels, "k")
+        members, used = shared.join(labels, "k"), []
         last = False
         if turn:
             # in each group the largest component is settled; only the others' members need partners
@@ -303,7 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             last = turn == ROUNDS or left <= FEW * rows_left or (cost is not None and left > 0.8 * cost)
             cost = left
+            used += [members, tops]
             members = scratch.save(members.join(tops.select("token", "top"), "token"), "mixed")
+            used.append(members)
         x = members if turn == 0 else members.filter("c <> top")
         x = x.select("token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "c")])
         if last:
@@ -314,7 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             by += [F.xxhash64("k", F.lit(f"{turn} {i}")) for i in range(1 if turn == 0 else PIVOTS)]
             mins = members.groupBy("token").agg(*[F.min(F.struct(h.alias("h"), "k", "n", "pos", "c")).alias(f"p{i}") for i, h in enumerate(by)])
             bare = [F.struct(*[F.col(f"p{i}")[c].alias(c) for c in ("k", "n", "pos", "c")]) for i in range(len(by))]
-            y = scratch.save(mins.select("token", F.explode(F.array_distinct(F.array(*bare))).alias("y")), "pivots").select("token", "y.*")
+            used.append(scratch.save(mins.select("token", F.explode(F.array_distinct(F.array(*bare))).alias("y")), "pivots"))
+            y = used[-1].select("token", "y.*")
             if turn:
                 x = members.select("token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "c")])
         y = y.select("token", *[F.col(c).alias(f"y_{c}") for c in ("k", "n", "pos", "c")])
@@ -325,11 +330,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
-        found = scratch.save(_verified(pairs, sets, percent), "found")
+        found = _verified(pairs, sets, percent, width, scratch)
         seen = pairs if seen is None else seen.union(pairs)
-        labels = _merged(labels, found, scratch)
+        old, labels = labels, _merged(labels, found, scratch)
+        scratch.drop(found, *used, *([old] if old is not labels else []))
         if last:
             break
+    scratch.drop(shared, sets, wanted)
     labels = labels.select(F.col("k").alias("id"), F.col("c").alias("component"))
     least = keys.join(labels.withColumnRenamed("id", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
     least = scratch.save(least, "least")

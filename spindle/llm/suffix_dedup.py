@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.llm.kernel import tidy
+from spindle.llm.names import PIECES, batch_of, pieces, repeated, told
 from spindle.llm.scratch import Scratch, parts
 
 #: Length of the strings, and of the grams of the initial buckets (each round doubles them: 50, 100, 200).
@@ -16,21 +18,6 @@ SIEVE = 64
 BLOCK = 1 << 20
 #: Bytes of text for each shard of bucket names, and for each bucket of the table of blocks.
 SHARD, DEAL = 4 << 20, 12 << 20
-#: Bits of a bucket's name in all rounds but the last. Names only sieve there: a clash keeps a suffix for the next round.
-COARSE = 48
-
-
-def _squeeze(keys: np.ndarray, width: int) -> bytes:
-    """Sorted whole numbers of ``width`` bytes at most as differences, by byte planes."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _unsqueeze(data, n: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : len(planes)] = planes.T
-    return np.cumsum(out.view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 class Block:
@@ -106,78 +93,6 @@ class Block:
         return ask, mix(table[ask] * np.uint64(0x9E3779B97F4A7C15) + table[ask + (GRAM << (turn - 1))])
 
 
-def _sorted(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """The order by name and check; the checks of equal names hardly ever differ, so they are looked at first."""
-    order = np.argsort(keys)
-    k, c = keys[order], checks[order]
-    return np.lexsort((checks, keys)) if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any() else order
-
-
-def _pieces(keys: np.ndarray, checks: np.ndarray | None, shards: int, coarse: bool):
-    """(shard, packed names, many flags, packed checks, n) of the distinct names of a block, and each suffix's place among them."""
-    if coarse:
-        keys = keys >> np.uint64(64 - COARSE)
-    if checks is None:
-        order = np.argsort(keys)
-        k = keys[order]
-        new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-        c = None
-    else:
-        order = _sorted(keys, checks)
-        k, c = keys[order], checks[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    many = np.diff(np.append(at, len(k))) > 1
-    k = k[at]
-    c = None if c is None else c[at]
-    # shards are ranges of names, so that their answers put together are in the order of the names
-    shard = (k >> np.uint64(COARSE - 32 if coarse else 32)) * np.uint64(shards) >> np.uint64(32)
-    edge = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-    out = []
-    for s in np.flatnonzero(np.diff(edge)):
-        a, b = edge[s], edge[s + 1]
-        out.append((int(s), _squeeze(k[a:b], COARSE // 8 if coarse else 8), np.packbits(many[a:b]).tobytes(), b"" if c is None else c[a:b].tobytes(), int(b - a)))
-    return out, place
-
-
-PIECES = "shard long, block long, names binary, many binary, checks binary, n long"
-
-
-def _repeated(key, table):
-    """For each block the flags of its names in this shard: whether any other suffix, of any block, is in the bucket."""
-    import pyarrow as pa
-
-    if key[0].as_py() < 0:  # what a block keeps for itself
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "flags": table.column("names"), "n": table.column("n")})
-    n = table.column("n").to_numpy()
-    keys = np.concatenate([_unsqueeze(x.as_buffer(), k) for x, k in zip(table.column("names"), n)])
-    again = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=k) for x, k in zip(table.column("many"), n)]).astype(bool)
-    checks = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("checks")])
-    order = _sorted(keys, checks) if len(checks) else np.argsort(keys)
-    k = keys[order]
-    same = k[1:] == k[:-1]
-    if len(checks):
-        c = checks[order]
-        same &= c[1:] == c[:-1]
-    edge = np.flatnonzero(np.append(True, ~same))
-    size = np.diff(np.append(edge, len(k)))
-    alive = np.logical_or.reduceat(again[order], edge) | (size > 1)
-    flags = np.empty(len(k), bool)
-    flags[order] = np.repeat(alive, size)
-    at = np.append(0, np.cumsum(n))
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "flags": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(at, at[1:])], pa.binary()), "n": table.column("n")})
-
-
-def _told(answers) -> tuple[np.ndarray | None, np.ndarray]:
-    """The windows that a block kept for itself, and the flags of its names from all shards."""
-    rows = sorted(answers.as_py(), key=lambda r: r["shard"]) if answers.is_valid else []
-    own = [_unmask(r["flags"]) for r in rows if r["shard"] < 0]
-    flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]) for r in rows if r["shard"] >= 0]
-    return (own[0] if own else None), (np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool))
-
-
 def _mask(windows: np.ndarray) -> bytes:
     """Places as (start, length) of runs."""
     edge = np.flatnonzero(np.append(True, np.diff(windows) > 1)) if len(windows) else np.zeros(0, np.int64)
@@ -229,15 +144,16 @@ def _names_of(block: Block, windows: np.ndarray, turn: int) -> tuple[np.ndarray,
 
 def unsettled(block: Block, answers, turn: int, shards: int) -> np.ndarray:
     """The windows of a block still unsettled once the answers of a turn (-1: the sieve) are in."""
-    windows, flags = _told(answers)
+    own, flags = told(answers)
     if not len(flags):
         return np.zeros(0, np.int64)
     if turn < 0:
         at, keys = block.anchors()
-        return block.windows(at, flags[_pieces(keys, None, shards, True)[1]])
+        return block.windows(at, flags[pieces(keys, None, shards, True)[1]])
+    windows = _unmask(own)
     keys, checks = _names_of(block, windows, turn)
     alive = np.zeros(len(block.data) + LENGTH, bool)
-    alive[block.wanted(windows, turn)] = flags[_pieces(keys, checks, shards, turn < TURNS - 1)[1]]
+    alive[block.wanted(windows, turn)] = flags[pieces(keys, checks, shards, turn < TURNS - 1)[1]]
     return windows[np.logical_and.reduce([alive[windows + off] for off in range(0, LENGTH, GRAM << turn)])]
 
 
@@ -255,10 +171,6 @@ def refined(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
 
     def step(turn):
         def run(batches):
-            import pyarrow as pa
-
-            from spindle.llm.kernel import tidy
-
             for batch in batches:
                 for i in range(batch.num_rows):
                     number, block = batch.column(0)[i].as_py(), Block(batch.column(1)[i].as_buffer(), batch.column(2)[i].as_buffer())
@@ -271,9 +183,8 @@ def refined(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
                             continue
                         own = [(-1 - number % shards, _mask(windows), b"", b"", -1)]
                         keys, checks = _names_of(block, windows, turn)
-                    out = _pieces(keys, checks, shards, turn < TURNS - 1)[0] + own
-                    columns = list(zip(*out)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([number] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:4]), pa.array(columns[4], pa.int64())], names=["shard", "block", "names", "many", "checks", "n"])
+                    out = pieces(keys, checks, shards, turn < TURNS - 1)[0] + own
+                    yield batch_of(number, out)
             tidy()
 
         return run
@@ -281,7 +192,7 @@ def refined(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     answers, texts = None, blocks.select("block", "data", "sizes")
     for turn in range(-1, TURNS):
         ask = texts if answers is None else texts.join(answers.hint("shuffle_hash"), "block").select("block", "data", "sizes", "answers")
-        found = ask.mapInArrow(step(turn), PIECES).groupBy("shard").applyInArrow(_repeated, "block long, shard long, flags binary, n long")
+        found = ask.mapInArrow(step(turn), PIECES).groupBy("shard").applyInArrow(repeated, "block long, shard long, flags binary, n long")
         new = scratch.save(found.groupBy("block").agg(F.collect_list(F.struct("shard", "flags", "n")).alias("answers")), "answers")  # a bit for each name of a block
         scratch.drop(*([answers] if answers is not None else []))
         del ask, found
