@@ -9,63 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm.bits import among
+from spindle.llm.kernel import tidy
 from spindle.llm.scratch import Scratch
 
-#: Words are known by their whole 64-bit hash and a pair of words by both hashes; nothing else is mixed in.
-WORD_BITS = 64
-PAIR_BITS = 0
+#: Hashes that stand for the beginning and the end of a text.
+BOS, EOS = 0x243F6A8885A308D3, 0x13198A2E03707344
 #: Bits of the table that tells which keys can be in the model at all (16 MB); it only saves look-ups.
 SEEN_BITS = 27
 #: Words and entries of the model, the most frequent ones, that each task holds too; they only save look-ups.
 COMMON = 1 << 20
-#: Bigrams seen less often are left to the lower order (their mass with them); 1 keeps all.
-CUT = 1
-#: Entries of one shard of the model, which one task holds.
-SHARD = 1 << 20
+#: Bigrams that a task of the training packs at once; bytes of text, over all documents, for each shard.
+SHARD, DEAL = 1 << 20, 16 << 20
 #: Share of a language's held-out trusted documents above its threshold where no label tells bad documents.
 MISS = 0.003
 SLICES = 16
-#: Documents whose pairs a task holds at once (their numbers take 16 bits at most).
-BLOCK = 1024
+#: Documents whose pairs a task holds at once (their numbers take 8 bits).
+BLOCK = 256
 
 
-class Pairs:
-    """Neighbouring words; as a list, whole numbers of both words' bits."""
+def sequences(column):
+    """Yields (first row, words before each text, hashes, text of each, places of pairs) of pieces of a column.
 
-    def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second = first, second
-
-    def tolist(self) -> list[int]:
-        return [(a << (WORD_BITS + PAIR_BITS)) | (b << PAIR_BITS) for a, b in zip(self.first.tolist(), self.second.tolist())]
-
-
-def _pieces(column):
-    """Yields (first row, word hashes, words before each text) of pieces of a column."""
+    A text with words is a sequence from BOS to EOS; pair i is of the entries i and i + 1.
+    """
     from spindle.llm.kernel import chunks, words
 
     for row, data, starts, ends in chunks(column):
         h, _, _, before = words(data, starts, ends)
-        yield row, h, before
-
-
-def bigrams(column):
-    """Yields (row, word hashes, pairs) of each text; pair i is of words i and i + 1."""
-    for row, h, before in _pieces(column):
-        for i in range(len(before) - 1):
-            ids = h[before[i] : before[i + 1]]
-            yield row + i, ids, Pairs(ids[:-1], ids[1:])
-
-
-def _within(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The text of each word, and the words whose next word is in the same text."""
-    text = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    return text, np.flatnonzero(text[1:] == text[:-1])
-
-
-def _context_key(h: np.ndarray) -> np.ndarray:
-    from spindle.llm.kernel import mix
-
-    return mix(h + np.uint64(0x2545F4914F6CDD1D))
+        n = np.diff(before)
+        size = np.where(n > 0, n + 2, 0)
+        end = np.cumsum(size)
+        low = end - size
+        out = np.full(size.sum(), BOS, np.uint64)
+        text = np.repeat(np.arange(len(n)), size)
+        out[np.arange(len(h)) - np.repeat(before[:-1], n) + np.repeat(low, n) + 1] = h
+        out[end[n > 0] - 1] = EOS
+        pair = np.ones(len(out), bool)
+        pair[end[n > 0] - 1] = False
+        yield row, before, out, text, np.flatnonzero(pair)
 
 
 def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -78,8 +59,16 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(shards)
 
 
-def _place(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each key in the table of possible keys."""
+    return [((keys * np.uint64(m)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64) for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+def _possible(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for at in _places(keys):
+        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return out
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -128,14 +117,19 @@ class _Held:
         return np.where(self.keys[at] == h, self.values[at], self.other)[()]
 
 
+def _discounts(counts) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and 3 or more, from how many types were seen once, twice, three and four times."""
+    n1, n2, n3, n4 = (max(float(c or 0), 0.0) for c in counts)
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    rate = lambda k, a, b: min(max(k - (k + 1) * y * b / a, 0.0), k) if a else k / 2
+    return np.array([0.0, rate(1, n1, n2), rate(2, n2, n3), rate(3, n3, n4)])
+
+
 class Tables:
     """Discounts, the score of an unknown word, and what each task holds of the common words and entries."""
 
     def __init__(self, counts):
-        n1, n2, n3, n4 = (max(float(c or 0), 0.0) for c in counts)
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        rate = lambda k, a, b: min(max(k - (k + 1) * y * b / a, 0.0), k) if a else k / 2
-        self.discount = np.array([0.0, rate(1, n1, n2), rate(2, n2, n3), rate(3, n3, n4)])
+        self.discount = _discounts(counts)
 
     def hold_words(self, t, unknown: float) -> None:
         keys, total, back, lower = (t.column(i).to_numpy() for i in range(4))
@@ -165,9 +159,9 @@ def _common(rows: DataFrame, n: str) -> DataFrame:
 def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame, Tables, np.ndarray]:
     """(shard, keys, values) of all entries of the model, the tables each task holds, and that of possible keys.
 
-    A text's log probability is its number of words times that of an unknown word, plus the values of its keys in
-    the model: a word's hash (its lower-order log probability less an unknown word's), its context key (the log of
-    its back-off mass) and the key of each pair (what its own count adds to both). All grow with the text.
+    A text's log probability is its number of events (its words and its end) times that of an unknown word, plus the
+    values of its keys in the model: of a word's hash, its lower-order log probability less an unknown word's and the
+    log of its back-off mass; of each pair's key, what its own count adds to both. All grow with the text.
     """
 
     def count(batches):
@@ -175,13 +169,13 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
 
         for batch in (b.slice(low, BLOCK) for b in batches for low in range(0, b.num_rows, BLOCK)):
             first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for _, h, before in _pieces(batch.column(0)):
-                _, at = _within(before)
+            for _, _, h, _, at in sequences(batch.column(0)):
                 first.append(h[at])
                 second.append(h[at + 1])
             a, b, n = _summed(np.concatenate(first), np.concatenate(second))
             found = list(_split(a, shards, b, n.astype(np.uint32), by=_pair_key(a, b)))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int64()), pa.array([_pack(k) for _, k, _ in found], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found], pa.binary()), pa.array([m[1].tobytes() for _, _, m in found], pa.binary())], names=["shard", "a", "b", "n"])
+        tidy()
 
     def total(key, table):
         import pyarrow as pa
@@ -198,13 +192,16 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     tally = lambda when: F.sum(F.when(when, 1).otherwise(0))
     stats = scratch.save(sides.groupBy("w").agg(F.sum("n").alias("total"), F.sum("before").alias("continuation"), tally(F.col("n") == 1).alias("ones"), tally(F.col("n") == 2).alias("twos"), tally(F.col("n") >= 3).alias("more")), "words")
     scratch.release()
-    known, kinds, all_ = (x or 0 for x in stats.agg(F.count(F.lit(1)), F.count(F.when(F.col("continuation") > 0, 1)), F.sum("continuation")).first())
-    # what the kept bigrams of a context leave over; the cut ones leave all of theirs
-    d, base, all_ = [float(x) for x in tables.discount], (0.75 * kinds + (kinds == 0)) / (known + 1), max(all_, 1)
-    left = F.col("ones") * (1.0 if CUT > 1 else d[1]) + F.col("twos") * d[2] + F.col("more") * d[3]
-    words = stats.select("w", "total", F.when(F.col("total") > 0, F.greatest(left / F.col("total"), F.lit(1e-6))).otherwise(1.0).alias("back"), ((F.greatest(F.col("continuation") - 0.75, F.lit(0.0)) + base) / float(all_)).alias("lower"), (F.col("total") + F.col("continuation")).alias("n"))
+    c = F.col("continuation")
+    known, all_, *kinds = (x or 0 for x in stats.agg(F.count(F.lit(1)), F.sum(c), *[F.count(F.when(c == k, 1)) for k in (1, 2, 3, 4)], F.count(F.when(c >= 3, 1))).first())
+    # both orders are modified Kneser-Ney: discounts of their own for counts of 1, 2 and 3 or more
+    d, e, all_ = [float(x) for x in tables.discount], [float(x) for x in _discounts(kinds[:4])], max(all_, 1)
+    base = (e[1] * kinds[0] + e[2] * kinds[1] + e[3] * kinds[4] or 1.0) / (known + 1)
+    left = F.col("ones") * d[1] + F.col("twos") * d[2] + F.col("more") * d[3]
+    own = F.when(c >= 3, c - e[3]).when(c == 2, c - e[2]).when(c == 1, c - e[1]).otherwise(0.0)
+    words = stats.select("w", "total", F.when(F.col("total") > 0, F.greatest(left / F.col("total"), F.lit(1e-6))).otherwise(1.0).alias("back"), ((F.greatest(own, F.lit(0.0)) + base) / float(all_)).alias("lower"), (F.col("total") + c).alias("n"))
     tables.hold_words(_common(words, "n").select("w", F.col("total").cast("double"), "back", "lower").toArrow().combine_chunks(), base / all_)
-    shared = scratch.spark.sparkContext.broadcast(tables)
+    shared = scratch.share(tables)
 
     def fill(batches):
         import pyarrow as pa
@@ -217,7 +214,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
 
     # words that each task holds are settled where the pair is, so only rare ones are joined by their hash
     names = ["a", "b", "n", "total", "back", "lower"]
-    filled = pairs.filter(F.col("n") >= CUT).mapInArrow(fill, "a long, b long, n long, total double, back double, lower double")
+    filled = pairs.mapInArrow(fill, "a long, b long, n long, total double, back double, lower double")
     rare = filled.filter("total is null").select("a", "b", "n", "lower").join(words.select(F.col("w").alias("a"), F.col("total").cast("double").alias("total"), "back"), "a").select(*names)
     filled = filled.filter("total is not null").unionByName(rare)
     rare = filled.filter("lower is null").drop("lower").join(words.select(F.col("w").alias("b"), "lower"), "b").select(*names)
@@ -239,14 +236,14 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
         tab = shared.value
         for batch in batches:
             w, back, lower, n = (batch.column(i).to_numpy() for i in range(4))
-            keys = np.concatenate([w, _context_key(w.view(np.uint64)).view(np.int64)])
-            value = np.concatenate([np.log(lower) - np.log(tab.unknown), np.log(back)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(value.astype(np.float32)), pa.array(np.tile(n, 2))], names=["key", "value", "n"])
+            value = np.log(lower) - np.log(tab.unknown) + np.log(back)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(value.astype(np.float32)), pa.array(n)], names=["key", "value", "n"])
 
     entries = filled.mapInArrow(of_pairs, "key long, value float, n long").unionByName(words.select("w", "back", "lower", "n").mapInArrow(of_words, "key long, value float, n long"))
     entries = scratch.save(entries, "entries")
     del sides, words, filled, rare
     scratch.drop(pairs, stats)
+    scratch.unshare()
     tables.hold_entries(_common(entries, "n").select("key", "value").toArrow().combine_chunks())
 
     def packed(batches):
@@ -272,8 +269,8 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
 
         bits = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
         for batch in batches:
-            at = _place(batch.column(0).to_numpy().view(np.uint64))
-            np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+            for at in _places(batch.column(0).to_numpy().view(np.uint64)):
+                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         bits = bits.reshape(SLICES, -1)
         some = [i for i in range(SLICES) if bits[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([bits[i].tobytes() for i in some], pa.binary())], names=["slice", "bits"])
@@ -295,52 +292,54 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
 
     Keys of common entries are settled where the text is. All others that can be in the model go to its shards,
     packed, with the document's number in its block; a shard joins them with its entries and returns sums by
-    document, which the block adds up. Texts aren't shuffled.
+    document, which the block adds up. Documents are read once and carry their columns; texts aren't shuffled.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tables.entries, math.log(tables.unknown), seen))
+    shared = scratch.share((tables.entries, math.log(tables.unknown), seen))
+    kinds = [docs.schema[c].dataType.simpleString() for c in columns]
+    lists = "".join(f", c{i} array<{k}>" for i, k in enumerate(kinds))
+    names = [f"c{i}" for i in range(len(columns))]
 
     def ask(batches):
         import pyarrow as pa
 
         common, unknown, bits = shared.value
         for batch in batches:
-            block = batch.column(0)[0].as_py() if batch.num_rows else None
-            if block is None:
-                continue
             for low in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(low, BLOCK)
+                number = part.column(0)[0].as_py()
                 sums, sizes = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
-                keys, docs_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
-                for row, h, before in _pieces(part.column(1)):
+                keys, docs_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+                for row, before, h, text, pair in sequences(part.column(1)):
                     n = len(before) - 1
                     sizes[row : row + n] = np.diff(before)
-                    text, pair = _within(before)
-                    k = np.concatenate([h, _context_key(h[pair]), _pair_key(h[pair], h[pair + 1])])
-                    who = np.concatenate([text, text[pair], text[pair]])
-                    at = _place(k)
-                    may = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-                    k, who = k[may], who[may]
+                    may = _possible(bits, h)
+                    both = pair[may[pair] & may[pair + 1]]
+                    p = _pair_key(h[both], h[both + 1])
+                    in_model = _possible(bits, p)
+                    k = np.concatenate([h[may], p[in_model]])
+                    who = np.concatenate([text[may], text[both][in_model]])
                     value = common[k]
                     far = np.isnan(value)
-                    sums[row : row + n] = np.bincount(who[~far], value[~far], n) + unknown * np.diff(before)
+                    events = np.diff(before) + (np.diff(before) > 0)
+                    sums[row : row + n] = np.bincount(who[~far], value[~far], n) + unknown * events
                     keys.append(k[far])
-                    docs_at.append((who[far] + row).astype(np.uint16))
+                    docs_at.append((who[far] + row).astype(np.uint8))
                 found = list(_split(np.concatenate(keys), shards, np.concatenate(docs_at)))
-                number = block + low
                 n = len(found)
+                own = [pa.array([None] * n + [c.to_pylist()], pa.list_(c.type)) for c in part.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _, _ in found] + [-1 - (number // BLOCK + (number >> 33)) % shards], pa.int64()), pa.array([number] * (n + 1), pa.int64()), pa.array([_pack(k) for _, k, _ in found] + [sums.tobytes()], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found] + [sizes.tobytes()], pa.binary())],
-                    names=["shard", "block", "keys", "docs"],
+                    [pa.array([s for s, _, _ in found] + [-1 - (number // BLOCK + (number >> 33)) % shards], pa.int64()), pa.array([number] * (n + 1), pa.int64()), pa.array([_pack(k) for _, k, _ in found] + [sums.tobytes()], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found] + [sizes.tobytes()], pa.binary()), *own],
+                    names=["shard", "block", "keys", "docs", *names],
                 )
+        tidy()
 
     def answer(key, table):
         import pyarrow as pa
 
         held, value, out = [np.zeros(0, np.uint64)], [np.zeros(0)], []
-        block = table.column("block").to_pylist()
         if key[0].as_py() < 0:
-            return table.select(["block", "keys", "docs"]).rename_columns(["block", "sums", "local"]).add_column(1, "docs", pa.nulls(table.num_rows, pa.binary()))
+            return table.select(["block", "keys", "docs", *names]).rename_columns(["block", "sums", "local", *names]).add_column(1, "docs", pa.nulls(table.num_rows, pa.binary()))
+        block = table.column("block").to_pylist()
         for i, b in enumerate(block):
             if b is None:
                 held.append(_unpack(table.column("keys")[i].as_buffer()))
@@ -351,10 +350,15 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
         for i, b in enumerate(block):
             if b is None:
                 continue
-            k, d = _unpack(table.column("keys")[i].as_buffer()), np.frombuffer(table.column("docs")[i].as_buffer(), np.uint16)
-            who, place = np.unique(d, return_inverse=True)
-            out.append({"block": b, "docs": who.astype(np.uint16).tobytes(), "sums": np.bincount(place, held[k]).tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("local", pa.binary())]))
+            k, d = _unpack(table.column("keys")[i].as_buffer()), np.frombuffer(table.column("docs")[i].as_buffer(), np.uint8)
+            sums = np.bincount(d, held[k], BLOCK)
+            who = np.flatnonzero(sums)
+            out.append({"block": b, "docs": who.astype(np.uint8).tobytes(), "sums": sums[who].tobytes()})
+        tidy()
+        mine = pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("local", pa.binary())]))
+        for c in names:
+            mine = mine.append_column(c, pa.nulls(len(out), table.schema.field(c).type))
+        return mine
 
     def gather(key, table):
         import pyarrow as pa
@@ -365,16 +369,16 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
         # in a fixed order, so that reruns round alike
         parts = sorted((table.column("docs")[i].as_py(), table.column("sums")[i].as_py()) for i in range(table.num_rows) if i != whole)
         for d, s in parts:
-            np.add.at(sums, np.frombuffer(d, np.uint16), np.frombuffer(s, np.float64))
-        return pa.table({"row": pa.array(np.arange(len(sums)) + key[0].as_py()), "n_words": pa.array(sizes), "logp": pa.array(sums)})
+            np.add.at(sums, np.frombuffer(d, np.uint8), np.frombuffer(s, np.float64))
+        return pa.table({**{c: table.column(c)[whole].values for c in names}, "n_words": pa.array(sizes), "logp": pa.array(sums)})
 
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    asked = numbered.select("row", text_col).mapInArrow(ask, "shard long, block long, keys binary, docs binary")
-    together = asked.unionByName(model.select("shard", F.lit(None).cast("long").alias("block"), "keys", F.col("values").alias("docs")))
-    answers = together.groupBy("shard").applyInArrow(answer, "block long, docs binary, sums binary, local binary")
-    scores = answers.groupBy("block").applyInArrow(gather, "row long, n_words long, logp double")
-    out = numbered.select("row", *columns).join(scores, "row").drop("row")
-    return out.select(*columns, "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("logp") / F.col("n_words"))).alias("perplexity"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), text_col, *[F.col(c).alias(n) for c, n in zip(columns, names)])
+    asked = numbered.mapInArrow(ask, f"shard long, block long, keys binary, docs binary{lists}")
+    none = [F.lit(None).cast(f"array<{k}>").alias(n) for k, n in zip(kinds, names)]
+    together = asked.unionByName(model.select("shard", F.lit(None).cast("long").alias("block"), "keys", F.col("values").alias("docs"), *none))
+    answers = together.groupBy("shard").applyInArrow(answer, f"block long, docs binary, sums binary, local binary{lists}")
+    scores = answers.groupBy("block").applyInArrow(gather, "".join(f"c{i} {k}, " for i, k in enumerate(kinds)) + "n_words long, logp double")
+    return scores.select(*[F.col(n).alias(c) for c, n in zip(columns, names)], "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("logp") / (F.col("n_words") + 1))).alias("perplexity"))
 
 
 def _limits(steps: dict, share: float) -> dict:
@@ -428,11 +432,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     low = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_q")).filter("_q = 0")
     texts = among(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("_id is not null"), teach, "_id")
     size = scratch.save(texts.select("text"), "texts")
-    words = size.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(SLICES, -(-int(words) // 7 // SHARD))
+    shards = max(SLICES, -(-int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // DEAL))
     model, tables, seen = _trained(size, shards, scratch)
     scratch.drop(size)
     scored = scratch.save(perplexities(docs, model, tables, seen, shards, [id_col, lang_col, *carry], text_col, scratch), "scores")
+    scratch.unshare()
     step = F.floor(F.log("perplexity") * 100).alias("step")
     judged = trusted.filter("_fold = 1").select("_id", F.lit(0).alias("_bad")).unionByName(low.select("_id", F.lit(1).alias("_bad")))
     held = scored.filter("perplexity is not null").join(judged, F.col(id_col) == F.col("_id")).groupBy(lang_col, step).agg(F.count(F.when(F.col("_bad") == 0, 1)).alias("good"), F.sum("_bad").alias("bad")).collect()  # languages times a few hundred steps

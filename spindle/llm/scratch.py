@@ -30,6 +30,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.shared: list = []
+
+    def share(self, value):
+        """A broadcast of a value of bounded size, until ``unshare``."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def unshare(self) -> None:
+        """Removes all broadcasts, on the executors as well; nothing lazy may need them any more."""
+        for b in self.shared:
+            b.destroy()
+        self.shared = []
 
     def _path(self, name: str) -> str:
         self.n += 1

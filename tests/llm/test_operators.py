@@ -189,35 +189,59 @@ def test_html_text(spark):
     assert got == {1: "T & t\n\nOne two\n\nthree b", 2: "", 3: ""}
 
 
-def test_perplexity_matches_plain_counts(spark, docs):
-    rows = [r for r in docs.collect() if r["text"]]
-    model, tables, seen = perplexity._trained(docs.filter("text is not null").select("text"), 16, perplexity.Scratch(spark, "t"))
-    import pyarrow as pa
+def _plain_kneser_ney(taught):
+    """Perplexities by dictionaries of words: interpolated modified Kneser-Ney of order 2, nothing of the module used."""
+
+    def discounts(values):
+        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+        rate = lambda k, a, b: min(max(k - (k + 1) * y * b / a, 0), k) if a else k / 2
+        return [0, rate(1, n[0], n[1]), rate(2, n[1], n[2]), rate(3, n[2], n[3])]
 
     pairs: collections.Counter = collections.Counter()
-    per = {}
-    for n, (_, ids, keys) in enumerate(perplexity.bigrams(pa.array([r["text"] for r in rows]))):
-        per[n] = (ids, keys)
-        pairs.update(keys.tolist())
-    first = collections.Counter()
-    for k, n in pairs.items():
-        first[k >> (perplexity.WORD_BITS + perplexity.PAIR_BITS)] += n
-    assert all(tables.total[w] == n for w, n in first.items())
-    scored = {(r["doc_id"], r["n_words"]): r["perplexity"] for r in perplexity.perplexities(docs, model, tables, seen, 16, ["doc_id"], "text", perplexity.Scratch(spark, "t")).collect()}
-    for n, r in enumerate(rows):
-        ids, keys = per[n]
-        if len(ids) == 0 or r["doc_id"] == 6:  # two rows of as many words
-            continue
-        logp = np.log(tables.lower[int(ids[0])])
-        for k in keys.tolist():
-            a, b = k >> (perplexity.WORD_BITS + perplexity.PAIR_BITS), (k >> perplexity.PAIR_BITS) & ((1 << perplexity.WORD_BITS) - 1)
-            c = pairs[k] if pairs[k] >= perplexity.CUT else 0
-            own = max(c - tables.discount[min(c, 3)], 0) / max(tables.total[a], 1)
-            logp += np.log(own + max(tables.back[a], 1e-6) * tables.lower[b])
-        assert scored[r["doc_id"], len(ids)] == pytest.approx(np.exp(-logp / len(ids)))
+    for t in taught:
+        if words(t):
+            pairs.update(zip([None, *words(t)], [*words(t), ()]))
+    total, follow, before = collections.Counter(), collections.defaultdict(list), collections.Counter()
+    for (a, b), n in pairs.items():
+        total[a] += n
+        follow[a].append(n)
+        before[b] += 1
+    d, e, all_ = discounts(list(pairs.values())), discounts(list(before.values())), max(len(pairs), 1)
+    base = (sum(e[min(n, 3)] for n in before.values()) or 1.0) / (len({*before, *total}) + 1)
+
+    def score(t):
+        if not words(t):
+            return None
+        logp = 0.0
+        for a, b in zip([None, *words(t)], [*words(t), ()]):
+            lower = (max(before[b] - e[min(before[b], 3)], 0) + base) / all_
+            back = max(sum(d[min(n, 3)] for n in follow[a]) / total[a], 1e-6) if total[a] else 1.0
+            own = max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) / total[a] if total[a] else 0.0
+            logp += np.log(own + back * lower)
+        return np.exp(-logp / (len(words(t)) + 1))
+
+    return score
+
+
+def test_perplexity_is_that_of_plain_kneser_ney(spark, docs):
+    every = [r["text"] for r in docs.collect()]
+    for taught in (every, every[::2], ["a b", "c"], []):
+        want = _plain_kneser_ney(taught)
+        got = _scores(spark, taught, every)
+        assert len(got) == len(every)
+        for i, t in enumerate(every):
+            assert got[i] == (want(t) if want(t) is None else pytest.approx(want(t), rel=1e-4))
+
+
+def test_classifier_on_odd_rows(spark, docs):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(36)], "doc_id long, quality int, toxic int")
     out = perplexity.classify(docs, labels).collect()
     assert len(out) == docs.count() and not any(r["kept"] for r in out if r["n_words"] == 0)
+    # each language has a threshold of its own
+    assert len({(r["lang"], r["threshold"]) for r in out}) == len({r["lang"] for r in out})
+    assert perplexity.classify(docs.limit(0), labels).count() == 0
+    assert all(r["kept"] == (r["n_words"] > 0) for r in perplexity.classify(docs, labels.limit(0)).collect())
 
 
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
@@ -246,19 +270,6 @@ def _scores(spark, taught, asked, shards=16):
     return {r["doc_id"]: r["perplexity"] for r in perplexity.perplexities(rows, model, tables, seen, shards, ["doc_id"], "text", scratch).collect()}
 
 
-def test_perplexity_tells_words_apart_that_share_hash_bits(spark):
-    import pyarrow as pa
-
-    held: dict = {}
-    for i in range(20_000):
-        h = int(next(perplexity.bigrams(pa.array([f"w{i}"])))[1][0])
-        if held.setdefault(h >> (64 - 18) if perplexity.WORD_BITS == 64 else h, i) != i:
-            break
-    known, strange = f"w{held[h >> 46 if perplexity.WORD_BITS == 64 else h]}", f"w{i}"
-    score = _scores(spark, [f"a{n} {known}" for n in range(50)], [known, strange, "never_seen"])
-    assert score[0] < score[1] == pytest.approx(score[2])
-
-
 def test_perplexity_is_the_same_without_common_entries(spark, docs, monkeypatch):
     taught = [r["text"] for r in docs.collect() if r["text"]]
     want = _scores(spark, taught[::2], taught)
