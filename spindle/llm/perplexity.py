@@ -19,7 +19,7 @@ SEEN_BITS = 27
 #: Words and entries of the model, the most frequent ones, that each task holds too; they only save look-ups.
 COMMON = 1 << 20
 #: Bigrams that a task of the training packs at once; bytes of text, over all documents, for each shard.
-SHARD, DEAL = 1 << 20, 16 << 20
+SHARD, DEAL = 1 << 20, 24 << 20
 #: Share of a language's held-out trusted documents above its threshold where no label tells bad documents.
 MISS = 0.003
 SLICES = 16
@@ -353,7 +353,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
             k, d = _unpack(table.column("keys")[i].as_buffer()), np.frombuffer(table.column("docs")[i].as_buffer(), np.uint8)
             sums = np.bincount(d, held[k], BLOCK)
             who = np.flatnonzero(sums)
-            out.append({"block": b, "docs": who.astype(np.uint8).tobytes(), "sums": sums[who].tobytes()})
+            out.append({"block": b, "docs": who.astype(np.uint8).tobytes(), "sums": sums[who].astype(np.float32).tobytes()})
         tidy()
         mine = pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("local", pa.binary())]))
         for c in names:
@@ -369,7 +369,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
         # in a fixed order, so that reruns round alike
         parts = sorted((table.column("docs")[i].as_py(), table.column("sums")[i].as_py()) for i in range(table.num_rows) if i != whole)
         for d, s in parts:
-            np.add.at(sums, np.frombuffer(d, np.uint8), np.frombuffer(s, np.float64))
+            np.add.at(sums, np.frombuffer(d, np.uint8), np.frombuffer(s, np.float32))
         return pa.table({**{c: table.column(c)[whole].values for c in names}, "n_words": pa.array(sizes), "logp": pa.array(sums)})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), text_col, *[F.col(c).alias(n) for c, n in zip(columns, names)])

@@ -47,9 +47,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """``small``: packed harder, for tables with texts."""
         path = self._path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd" if small else None)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._spindle_path = path
         return out
