@@ -5,7 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from spindle.llm.bits import outside
 from spindle.llm.jaccard_join import near_duplicates
@@ -18,37 +17,34 @@ from spindle.llm.suffix_dedup import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """A row number, the same in each reading of a written table: decisions are on rows, as ids may repeat."""
-    return docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with numbers, written once: decisions are on rows, as ids may repeat, and numbers given twice may differ."""
+    return scratch.save(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows", small=True)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under the model of trusted text exceeds their language's threshold."""
     scratch = Scratch(spark, "stage-classify")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = classify(_numbered(docs), labels, carry=("_row",), scratch=scratch)
+    rows = _numbered(docs, scratch)
+    judged = classify(rows, labels, carry=("_row",), scratch=scratch)
     gone = scratch.save(judged.filter("not kept").select("_row"), "gone")
-    return outside(_numbered(docs), gone, "_row").select(*COLUMNS)
+    return outside(rows, gone, "_row").select(*COLUMNS)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row of each group of documents joined by links of shingle similarity 0.75 or more."""
     scratch = Scratch(spark, "stage-near")
-    groups = near_duplicates(_numbered(docs), id_col="_row", scratch=scratch)
+    rows = _numbered(docs, scratch)
+    groups = near_duplicates(rows, id_col="_row", scratch=scratch)
     gone = scratch.save(groups.filter("_row <> component_id").select("_row"), "gone")
-    return outside(_numbered(docs), gone, "_row").select(*COLUMNS)
+    return outside(rows, gone, "_row").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes each byte in a 200-byte string that starts anywhere else; characters cut in two go as well."""
-    out = remove_repeats(docs, carry=("lang", "source"), scratch=Scratch(spark, "stage-suffix"))
-    return out.select("doc_id", _whole_characters(F.col("kept")).alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-@F.pandas_udf(StringType())
-def _whole_characters(kept):
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    out = remove_repeats(docs, carry=("lang", "source"), characters=True, scratch=Scratch(spark, "stage-suffix"))
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
