@@ -127,11 +127,24 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     x, y = shared.alias("x"), shared.alias("y")
     pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.filter") == F.col("y.filter")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     side = lambda n: heads.select(F.col("rep").alias(n), F.col("v").alias(f"v{n}"))
-    # each side is divided by its largest component, so that no square leaves the range
-    top = lambda n: F.aggregate(f"v{n}", F.lit(0.0), lambda m, e: F.greatest(m, F.abs(e.cast("double"))))
-    dot = lambda p, q, s, t: F.aggregate(F.zip_with(p, q, lambda i, j: (i.cast("double") / F.col(s)) * (j.cast("double") / F.col(t))), F.lit(0.0), lambda s, e: s + e)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("ta", top("a")).withColumn("tb", top("b"))
-    links = both.select("a", "b", (dot("va", "vb", "ta", "tb") / F.sqrt(dot("va", "va", "ta", "ta")) / F.sqrt(dot("vb", "vb", "tb", "tb"))).alias("cosine")).filter(F.col("cosine") >= cosine)
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes = [batch.column(c).value_lengths().to_numpy(zero_copy_only=False) for c in (2, 3)]
+            for dim in np.unique(sizes[0]):  # of one filter, so of one dimension, but for a clash of filter ids
+                at = pa.array(np.flatnonzero((sizes[0] == dim) & (sizes[1] == dim)))
+                part = batch.take(at)
+                x, y = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for c in (2, 3))
+                # each side is divided by its largest component, so that no square leaves the range
+                x, y = (v / np.abs(v).max(axis=1, keepdims=True, initial=0.0) for v in (x, y))
+                dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+                found = dot(x, y) / np.sqrt(dot(x, x)) / np.sqrt(dot(y, y))
+                keep = pa.array(np.flatnonzero(found >= cosine))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array(found).take(keep)], names=["a", "b", "cosine"])
+
+    links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long, cosine double")
     links = scratch.save(links, "links")
     scratch.drop(shared, heads)
     return rows.select("row", "id", "k1", "k2"), reps, links
