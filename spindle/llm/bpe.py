@@ -168,19 +168,11 @@ class PrefixCounter:
             return len(text)
         units = self.table_units(text)
         k = bisect.bisect_right(sums, limit)
-        done, head = sum(map(len, units[:k])), sums[k - 1] if k else 0
-        for p in [units[k]] if units[k] in self.special else self.find(units[k]):
-            if head + self.size(p) > limit or p in self.special:
-                break
-            done, head = done + len(p), head + self.size(p)
-        if p in self.special:
-            return done
-        counts, at, best = self.piece(p.encode()), 0, 0
-        for c, ch in enumerate(p[:-1], 1):
-            at += len(ch.encode())
-            if head + counts[at] <= limit and len(self.find(p[:c])) == 1:
-                best = c
-        return done + best
+        # a cut changes at most the pieces next to it: the unit before the limit and the two after it are looked at again
+        low = max(0, k - 1)
+        done, head = sum(map(len, units[:low])), sums[low - 1] if low else 0
+        near = self.prefixes("".join(units[low : k + 3]))
+        return done + max(c for c, n in enumerate(near) if head + n <= limit)
 
     def table_units(self, text: str) -> list[str]:
         if self.odd(text) is None and not any(s in text for s in self.special):
