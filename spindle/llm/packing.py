@@ -97,13 +97,14 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, source_col: str, tex
     return d.mapInArrow(run, f"row long, id {kind}, source string, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, width: int = 4096, group: int = GROUP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, width: int = 4096, group: int = GROUP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", targets: dict[str | None, float] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    Every document's ids, closed by END, go into sequences of ``width``; target proportions are the sources'
-    shares of all tokens. Documents are dealt into groups of about ``group`` tokens. A group starts with the
+    Every document's ids, closed by END, go into sequences of ``width``; every window is filled to the
+    target proportions of the sources that still have tokens: ``targets`` (a source left out has 0 and comes when
+    the others are used up), or the sources' own shares of all tokens. Documents are dealt into groups of about ``group`` tokens. A group starts with the
     deficits that the groups before it leave, which are known beforehand: the source's share of all their
-    tokens, less its tokens in them. Only a group's last window can be unfinished; it is cut at powers of two,
+    tokens, less its tokens in them (0 with ``targets``, as each group then keeps its own proportions). Only a group's last window can be unfinished; it is cut at powers of two,
     so nothing is padded.
 
     A null or empty text is the one id END; null sources are one source; rows with equal ids are packed each;
@@ -120,7 +121,10 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 4096, group: int = GROUP,
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = held.groupBy("pack").agg(F.sum("n").alias("t")).withColumn("t", F.coalesce(F.sum("t").over(before(Window.orderBy("pack"))), F.lit(0)))
     got = held.withColumn("got", F.coalesce(F.sum("n").over(before(Window.partitionBy("source").orderBy("pack"))), F.lit(0)))
-    heads = got.join(sums, "pack").alias("g").join(shares.alias("s"), F.expr("g.source <=> s.source")).select("pack", F.col("g.source").alias("source"), "share", (F.col("share") * F.col("t") - F.col("got")).alias("deficit"))
+    if targets is not None:
+        weigh = sum(targets.values()) or 1.0
+        shares = spark.createDataFrame([(k, v / weigh) for k, v in targets.items()], "source string, share double")
+    heads = got.join(sums, "pack").alias("g").join(shares.alias("s"), F.expr("g.source <=> s.source"), "left").select("pack", F.col("g.source").alias("source"), F.coalesce("share", F.lit(0.0)).alias("share"), (F.col("share") * F.col("t") - F.col("got") if targets is None else F.lit(0.0)).alias("deficit"))
     kind = tokens.schema["id"].dataType.simpleString()
     rows = tokens.select("pack", "row", "id", "source", "n", "ids", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("deficit")).unionByName(heads, allowMissingColumns=True)
 
