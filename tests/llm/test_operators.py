@@ -46,6 +46,14 @@ def test_token_counts(spark, docs):
     assert tokens.token_counts(docs.limit(0), BYTE).count() == 0
 
 
+def test_longest_cut_at_the_limit():
+    counter, rng = bpe.prefix_counter(BYTE), random.Random(3)
+    for t in ["aesra hh1\n\naé", *("".join(rng.choice("aeTths 'r\n\n  12é日<|>") for _ in range(rng.randint(1, 40))) for _ in range(300))]:
+        every = counter.prefixes(t)
+        for limit in range(1, 9):
+            assert counter.within(t, counter.table(t), limit) == max(c for c, n in enumerate(every) if n <= limit), (t, limit)
+
+
 def test_every_prefix_is_exact():
     tk, counter, rng = Tokenizer.from_file(BYTE), bpe.PrefixCounter(BYTE), random.Random(2)
     for t in ["don't  stop\n\n now", "naïve<|endoftext|>x", *("".join(rng.choice("aeTths 'r\n12é日<|>") for _ in range(30)) for _ in range(60))]:
@@ -92,7 +100,7 @@ def test_suffix_dedup(spark, docs):
     assert sorted(got) == sorted(want) and any(w[2] for w in want)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 6])
 def test_substring_dedup(spark, docs, batches):
     rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
     first: dict = {}
@@ -108,6 +116,9 @@ def test_substring_dedup(spark, docs, batches):
         want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
     got = [tuple(r) for r in substring_dedup.remove_known(docs, batches=batches).collect()]
     assert sorted(got) == sorted(want) and any(w[2] for w in want)
+    named = docs.selectExpr("printf('%06d', doc_id) AS doc_id", "text")
+    assert sorted((int(r[0]), *r[1:]) for r in substring_dedup.remove_known(named, batches=batches).collect()) == sorted(want)
+    assert substring_dedup.remove_known(docs.limit(0)).count() == 0
 
 
 def test_packing(spark, docs):
@@ -128,9 +139,28 @@ def test_packing(spark, docs):
             assert offset == at
             at += n
         assert at <= 4096 and at & (at - 1) == 0
+    # each id lies in exactly one piece (rows with equal ids are told apart by their tokens)
+    covered: collections.Counter = collections.Counter()
+    for r in out:
+        covered.update((r["doc_id"], r["doc_tokens"], k) for k in range(r["start"], r["start"] + r["length"]))
+    assert covered == collections.Counter((d, len(x), k) for (d, x), n in ids.items() for k in range(len(x)) for _ in range(n))
     assert packing.pack(docs.limit(0), WORD).count() == 0
 
 
+def test_packing_fills_windows_to_targets(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "of", "and"]) for _ in range(rng.randrange(50, 400))), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for targets in (None, {"a": 1.0, "b": 1.0, "c": 2.0}, {"a": 3.0, "b": 1.0}):
+        by = collections.defaultdict(collections.Counter)
+        for r in packing.pack(df, WORD, targets=targets).collect():
+            by[r["sequence_id"]][r["source"]] += r["length"]
+        share = {k: v / sum(targets.values()) for k, v in targets.items()} if targets else dict.fromkeys("abc", 1 / 3)
+        early = [by[k] for k in sorted(by)[:4]]
+        for window in early:
+            assert all(abs(window[s] - 4096 * share.get(s, 0.0)) < 300 for s in "abc"), (targets, window)
+
+
 def test_jaccard_join(spark, docs):
     def shingles(t):
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -189,6 +219,28 @@ def test_html_text(spark):
     assert got == {1: "T & t\n\nOne two\n\nthree b", 2: "", 3: ""}
 
 
+PROSE = "Some plain prose that goes on for a while, as the text of an article does, and then ends with a stop. "
+
+
+@pytest.mark.parametrize("page", ['<body class="has-sidebar"><article><p>{}</article>', '<body class="category-legal"><div class="post"><p>{}</div>', '<body><div class="content no-sidebar"><p>{}</div>', '<body><article><div class="widget-area-none"><p>{}</div></article>', '<body><div class="sidebar-layout"><nav>x</nav><p>{}</div>', '<body><div class="widget"><p>{}</div>'])
+def test_html_text_never_loses_the_article(page):
+    assert html_text.extract(page.format(PROSE), []) == PROSE.strip()
+
+
+def test_html_text_by_the_votes_of_a_host(spark):
+    page = lambda i: f'<body><div class="teaser">{PROSE * (3 if i == 3 else 0)}</div><div class="col{i}"><div class="story"><h1>T{i}</h1><p>{PROSE}</p></div></div><div class="comment-list"><p>{PROSE * 4}</p></div></body>'
+    df = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(6)] + [(9, "http://other/", page(3))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert all(got[i] == f"T{i}\n\n{PROSE.strip()}" for i in range(6)), got
+    assert got[9] != got[3]  # alone on its host, its own best container wins
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_html_text_takes_deep_pages():
+    deep = "<div>" * 5000 + "<p>deep text" + "</div>" * 5000
+    assert html_text.extract(deep, []) == "deep text"
+
+
 def _plain_kneser_ney(taught):
     """Perplexities by dictionaries of words: interpolated modified Kneser-Ney of order 2, nothing of the module used."""
 
