@@ -14,6 +14,8 @@ from spindle.llm.scratch import Scratch, parts
 #: Shingle frequencies are counted in 2**18 hashed buckets: a fixed 1 MB, whatever the input. They only order shingles.
 FREQ_BITS = 18
 SLICES = 16
+#: Groups in which the tasks' counts of a slice are summed first.
+FAN = 256
 #: Cells of the suffix filter's histogram of a set.
 CELLS = 64
 #: Prefix entries of a shard, bytes of text of a block, and pairs that a task compares at once.
@@ -95,7 +97,9 @@ def _frequencies(survey: DataFrame) -> np.ndarray:
 
     step = (1 << FREQ_BITS) // SLICES
     out = np.zeros(1 << FREQ_BITS, np.int64)
-    for r in survey.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():
+    # in two steps, so that no group holds a piece of every task
+    parts_ = survey.filter("slice is not null").select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(FAN)).alias("fan")).groupBy("slice", "fan").applyInArrow(total, "slice int, counts binary")
+    for r in parts_.groupBy("slice").applyInArrow(total, "slice int, counts binary").collect():
         out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
     return out
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spindle.llm.kernel import tidy
 from spindle.llm.scratch import Scratch
 
 #: Ends each document.
@@ -92,6 +93,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, source_col: str, tex
         for batch in batches:
             ids = [encode(t.as_py() or "") + END.to_bytes(2, "little") for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "id", "source", "n", "ids"])
+        tidy()
 
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col))
     return d.mapInArrow(run, f"row long, id {kind}, source string, n long, ids binary")
@@ -154,6 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 4096, group: int = GROUP,
             pa.array([p[1] for p in made], pa.int64()),
             table.column(1).take(at),
         ]
+        tidy()
         return pa.Table.from_arrays(columns, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     return rows.groupBy("pack").applyInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

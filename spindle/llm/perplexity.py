@@ -135,8 +135,9 @@ class Tables:
         keys, total, back, lower = (t.column(i).to_numpy() for i in range(4))
         keys = keys.view(np.uint64)
         order = np.argsort(keys)
-        self.unknown = unknown
-        self.total, self.back, self.lower = (_Held(keys[order], v[order], o) for v, o in ((total, 0.0), (back, 1.0), (lower, unknown)))
+        keys, self.unknown = keys[order], unknown
+        # float32 holds their logarithms well enough, and three tables share their keys
+        self.total, self.back, self.lower = (_Held(keys, v[order].astype(np.float32), np.nan) for v in (total, back, lower))
 
     def hold_entries(self, t) -> None:
         keys, value = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
@@ -209,7 +210,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
         tab = shared.value
         for batch in batches:
             a, b = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
-            more = [_Held(t.keys, t.values, np.nan)[x] for t, x in ((tab.total, a), (tab.back, a), (tab.lower, b))]
+            more = [t[x].astype(np.float64) for t, x in ((tab.total, a), (tab.back, a), (tab.lower, b))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, mask=np.isnan(x)) for x in more)], names=["a", "b", "n", "total", "back", "lower"])
 
     # words that each task holds are settled where the pair is, so only rare ones are joined by their hash
@@ -281,8 +282,12 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
         x = np.bitwise_or.reduce([np.frombuffer(k.as_buffer(), np.uint8) for k in table.column("bits")])
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([x.tobytes()], pa.binary())})
 
+    size = entries.count()
     seen = np.zeros((SLICES, (1 << SEEN_BITS) // 8 // SLICES), np.uint8)
-    for r in entries.select("key").mapInArrow(marks, "slice long, bits binary").groupBy("slice").applyInArrow(join_marks, "slice long, bits binary").collect():  # SLICES rows, 16 MB in all
+    if size > 1 << (SEEN_BITS - 2):  # so full a table would save next to nothing
+        return entries.select("key", "value").mapInArrow(packed, "shard long, keys binary, values binary"), tables, seen.reshape(-1) | np.uint8(255)
+    few = entries.select("key").coalesce(1 + size // (4 * SHARD))  # 8 tasks at most, each of which sends the whole table
+    for r in few.mapInArrow(marks, "slice long, bits binary").groupBy("slice").applyInArrow(join_marks, "slice long, bits binary").collect():  # SLICES rows, 16 MB in all
         seen[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return entries.select("key", "value").mapInArrow(packed, "shard long, keys binary, values binary"), tables, seen.reshape(-1)
 

@@ -31,6 +31,7 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         self.shared: list = []
+        self.paths: set[str] = set()
 
     def share(self, value):
         """A broadcast of a value of bounded size, until ``unshare``."""
@@ -51,6 +52,7 @@ class Scratch:
         """``small``: packed harder, for tables with texts."""
         path = self._path(name)
         df.write.parquet(path, compression="zstd" if small else None)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._spindle_path = path
         return out
@@ -66,9 +68,24 @@ class Scratch:
         out.schema  # resolved now: the files stay, and no name is left in the catalogue
         self.spark.sql(f"DROP TABLE {table}")
         out._spindle_path = path
+        self.paths.add(path)
         self.release()
         return out
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes the result and removes all that it was made of."""
+        out = self.save(df, "result", small=True)
+        for path in self.paths - {out._spindle_path}:
+            self._remove(path)
+        self.unshare()
+        self.release()
+        return out
+
+    def _remove(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths.discard(path)
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more; its listeners let go of the last one a little late."""
         for pause in (0.4, 0.2):
@@ -82,9 +99,7 @@ class Scratch:
             path = getattr(df, "_spindle_path", None)
             if path is None:
                 continue
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._remove(path)
         if len(dfs) > 1:
             self.release()
 
