@@ -29,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = _numbered(docs, scratch)
     judged = classify(rows, labels, carry=("_row",), scratch=scratch)
     gone = scratch.save(judged.filter("not kept").select("_row"), "gone")
-    return outside(rows, gone, "_row").select(*COLUMNS)
+    return scratch.finish(outside(rows, gone, "_row").select(*COLUMNS))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +38,14 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = _numbered(docs, scratch)
     groups = near_duplicates(rows, id_col="_row", scratch=scratch)
     gone = scratch.save(groups.filter("_row <> component_id").select("_row"), "gone")
-    return outside(rows, gone, "_row").select(*COLUMNS)
+    return scratch.finish(outside(rows, gone, "_row").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes each byte in a 200-byte string that starts anywhere else; characters cut in two go as well."""
-    out = remove_repeats(docs, carry=("lang", "source"), characters=True, scratch=Scratch(spark, "stage-suffix"))
-    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    scratch = Scratch(spark, "stage-suffix")
+    out = remove_repeats(docs, carry=("lang", "source"), characters=True, scratch=scratch)
+    return scratch.finish(out.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +71,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs, f"stage{k}")
+    for k, (_, stage) in enumerate(STAGES):
+        out, scratch = stage(spark, docs, sf_dir), Scratch(spark, f"pipeline-{k}")
+        docs = scratch.save(out, "stage", small=True) if k < len(STAGES) - 1 else out
     return docs
