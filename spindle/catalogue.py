@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions import css, fixed, urls
 from spindle.operators import markup
-from spindle.plans import control, crawl, stages
+from spindle.plans import control, crawl, events, pipeline, requests, stages
 from spindle.sources import files, mounts
 
 c = F.col
@@ -122,8 +122,8 @@ def crawl_bfs(spark, sf_dir):
     """Least depth of each page over a link graph dealt from orders (links of the pages themselves rarely hit the corpus)."""
     n = table(spark, sf_dir, "pages").count()
     edges = table(spark, sf_dir, "orders").select((c("o_orderkey") % n).cast("bigint").alias("src"), (c("o_custkey") * 7 % n).cast("bigint").alias("dst")).distinct()
-    root = spark.conf.get("spark.checkpoint.dir", None) or __import__("tempfile").mkdtemp(prefix="spindle-")
-    return crawl.bfs(edges, spark.range(1).select(c("id").alias("key")), 3, crawl.saver(spark, root))
+    save = crawl.saver(spark, crawl.shared_folder(spark))
+    return crawl.bfs(save(edges.repartition("src")), spark.range(1).select(c("id").alias("key")), 3, save)
 
 
 STYLE = """concat('@import "base', p_partkey % 3, '.css"; .p{background:url("/img/', p_partkey % 7, '.png")} .q{src:url(f', p_partkey, '.woff) , url(data:x,y)}')"""
@@ -176,7 +176,8 @@ def incomplete_html(spark, sf_dir):
     return stages.incomplete_html(table(spark, sf_dir, "pages")).select("page_id", "incomplete")
 
 
-MOUNTS = [("/srv/a", "http://tionsh.example.net/", 0), ("/srv/b", "http://tionsh.example.net/en/", 0), ("/srv/c", "https://tionsh.example.net/fr/", 5), ("/srv/d", "https://tionsh.example.net/", 9)]
+MOUNTS = [("/srv/a", "https://blog.tionble.example.com/", 0), ("/srv/b", "https://blog.tionble.example.com/en/", 0), ("/srv/c", "https://blog.tionble.example.com/fr/", 5), ("/srv/d", "https://blog.tionble.example.com/", 0)]
+MOUNTS += [(f"/srv/{k}{i}", f"{s}://{h}/{p}", q) for k, (s, h) in enumerate((s, h) for s in ("http", "https") for h in ("blog.tionsh.example.net", "tionsh.example.net", "www.tionble.example.com", "tionble.example.com")) for i, (p, q) in enumerate((("", 1), ("en/", 1), ("es/", 0)))]
 _M = ", ".join(f"({i}, '{r}', '{p.split('://')[0]}://{p.split('/')[2]}', '/{p.split('/', 3)[3]}', {q})" for i, (r, p, q) in enumerate(MOUNTS))
 
 
@@ -265,21 +266,26 @@ def link_graph_degree(spark, sf_dir):
     return stages.create_resources(page_links(spark, sf_dir), CFG).groupBy("url").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
-@query()
+@query(f"""WITH {LINKS}, s AS (SELECT *, {ROOT.format('ref_url')} || raw_url AS url_h, {SAVE.format('ref_url')} AS ref_save_path, {SAVE.format('(' + ROOT.format('ref_url') + ' || raw_url)')} AS save_path FROM l), {RELATIVE},
+n AS (SELECT page_id, list(CASE WHEN {REL} = '' THEN raw_url ELSE replace({REL}, '&', '&amp;') END ORDER BY ordinal) AS new FROM q GROUP BY page_id),
+p AS (SELECT page_id, string_split_regex(html, '<a href="[^"]*"') AS cut FROM pages)
+SELECT page_id, sha256(array_to_string(list_transform(range(1, len(cut) + 1), lambda i: cut[i] || CASE WHEN i < len(cut) THEN '<a href="' || new[i] || '"' ELSE '' END), '')) AS html_sha256 FROM p LEFT JOIN n USING (page_id)""")
 def rewrite_html(spark, sf_dir):
-    """Every page with its links pointing at saved copies; tests hold it against a splice of the same text."""
-    pages = table(spark, sf_dir, "pages")
-    rows = stages.create_resources(page_links(spark, sf_dir), CFG)
-    return markup.rewrite_pages(pages, rows.select("page_id", "start", "end", "replace_path")).select("page_id", F.sha2(c("html"), 256).alias("html_sha256"))
+    """Every page with its links pointing at saved copies."""
+    return markup.rewrite_site(table(spark, sf_dir, "pages")).select("page_id", F.sha2(c("html"), 256).alias("html_sha256"))
+
 
+KEY = "regexp_replace({0}, '[?#].*$', '')"
 
-@query()
+
+@query(f"""WITH {LINKS}, f AS (SELECT {KEY.format('url')} AS key, min(page_id) AS page_id FROM pages GROUP BY 1),
+t AS (SELECT DISTINCT {KEY.format(ROOT.format('ref_url') + ' || raw_url')} AS key FROM l JOIN f USING (page_id)),
+k AS (SELECT key, 0 AS depth FROM f UNION ALL SELECT key, 1 FROM t WHERE key NOT IN (SELECT key FROM f))
+SELECT key, depth::INT AS depth, page_id::BIGINT AS page_id FROM k LEFT JOIN f USING (key)""")
 def crawl_site(spark, sf_dir):
-    """A two-level crawl of the corpus from its first pages."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or __import__("tempfile").mkdtemp(prefix="spindle-")
+    """A crawl of one level from every page of the corpus: pages that share a key are asked for once."""
     pages = table(spark, sf_dir, "pages")
-    seeds = [r["url"] for r in pages.orderBy("page_id").limit(5).select("url").collect()]  # seeds are a short list by nature
-    return crawl.crawl(spark, seeds, pages, CFG, root).select("url", "depth", "type", "save_path", "page_id")
+    return crawl.crawl(spark, pages.select("url"), pages, CFG, crawl.shared_folder(spark)).select("key", "depth", "page_id")
 
 
 @query(f"SELECT {SAVE.format('url')} AS path, CASE WHEN page_id % 3 <> 0 THEN octet_length(encode(html))::BIGINT END AS size, 1445412480::BIGINT AS modified FROM pages UNION ALL SELECT concat('moved/', page_id, '.html'), octet_length(encode(html))::BIGINT, 1445412480 FROM pages WHERE page_id % 3 = 0")
@@ -287,3 +293,141 @@ def save_outputs(spark, sf_dir):
     """Files to write: a third of the pages were redirected and leave a page that sends visitors on (size null here)."""
     d = table(spark, sf_dir, "pages").select("page_id", urls.save_path(c("url"), F.lit(fixed.HTML)).alias("save_path"), F.lit(fixed.HTML).alias("type"), c("html").alias("body"), F.when(c("page_id") % 3 == 0, F.concat(F.lit("moved/"), c("page_id"), F.lit(".html"))).alias("redirected_save_path"), F.lit("Wed, 21 Oct 2015 07:28:00 GMT").alias("last_modified"))
     return files.outputs(d).select("path", F.when(~c("content").contains("<title>Redirecting</title>"), F.octet_length("content")).cast("bigint").alias("size"), "modified")
+
+
+# --- one query for each operator that the ones above only use in part ---------------------------------------------------
+@query(f"""WITH {LINKS}, s AS (SELECT *, {ROOT.format('ref_url')} || raw_url AS url_h, {SAVE.format('ref_url')} AS ref_save_path, {SAVE.format('(' + ROOT.format('ref_url') + ' || raw_url)')} AS save_path FROM l), {RELATIVE}
+SELECT page_id, ordinal, {REL} AS replace_path FROM q""")
+def replace_path(spark, sf_dir):
+    d = page_links(spark, sf_dir).withColumn("full", urls.resolve(c("raw_url"), c("ref_url")))
+    return d.select("page_id", "ordinal", urls.tidy_replacement(urls.relative_path(urls.save_path(c("full"), c("type")), c("ref_save_path"), c("full"))).alias("replace_path"))
+
+
+@query(f"SELECT page_id, {KEY.format('url')} AS key, regexp_replace(url, '#.*$', '') AS with_search FROM pages")
+def dedupe_key(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.dedupe_key(c("url")).alias("key"), urls.dedupe_key(c("url"), False).alias("with_search"))
+
+
+@query("SELECT page_id, regexp_replace(url, '#.*$', '') AS download_link FROM pages")
+def download_link(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.download_link(c("url")).alias("download_link"))
+
+
+@query("SELECT p_partkey, concat('@import \"new.css\"; /* url(a.png) */ .p{background:url(b', p_partkey, '.png)} .q{src:url( new.woff )} .r{x:url(a.png?v=1)}') AS css, concat('a.css b', p_partkey, '.png f.woff a.png?v=1') AS found FROM part")
+def css_rewrite(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('@import \"a.css\"; /* url(a.png) */ .p{background:url(b', p_partkey, '.png)} .q{src:url( f.woff )} .r{x:url(a.png?v=1)}') AS text")
+    new = F.create_map(*[F.lit(x) for x in ("a.css", "new.css", "f.woff", "new.woff", "a.png", "no", "a.png?v=1", "")])
+    return d.select("p_partkey", css.css_rewrite(c("text"), new).alias("css"), F.array_join(css.css_urls_distinct(c("text")), " ").alias("found"))
+
+
+@query("SELECT p_partkey, concat('/a%20b/', p_partkey, '%20c/%252F?q=%C3%A9&r=%25') AS link, concat('/x%', p_partkey % 10, 'z') AS bad FROM part")
+def encode_uri(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('/a b/', p_partkey, '%20c/%2F?q=é&r=%25') AS l", "concat('/x%', p_partkey % 10, 'z') AS b")
+    return d.select("p_partkey", urls.normal_uri(c("l")).alias("link"), urls.normal_uri(c("b")).alias("bad"))
+
+
+@query("SELECT p_partkey, concat('é', p_partkey) AS text FROM part")
+def decode_body(spark, sf_dir):
+    d = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN encode(concat('é', p_partkey), 'ISO-8859-1') WHEN 1 THEN encode(concat('é', p_partkey), 'UTF-16LE') ELSE encode(concat('é', p_partkey), 'UTF-8') END AS body", "CASE p_partkey % 4 WHEN 0 THEN 'latin1' WHEN 2 THEN 'utf8' END AS own", "CASE p_partkey % 4 WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'latin1' END AS given")
+    return d.select("p_partkey", urls.decoded(c("body"), c("own"), c("given")).alias("text"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'h.map' WHEN 1 THEN concat('long', s_suppkey, '.map') WHEN 2 THEN '#x' END AS found,
+CASE s_suppkey % 4 WHEN 1 THEN concat('var a;//# sourceMappingURL=', rpad('m.map', length(concat('long', s_suppkey, '.map'))::INT, ' '), ';') WHEN 2 THEN 'a//# sourceMappingURL=#x' ELSE 'var a;' END AS body FROM supplier""")
+def source_map_rewrite(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "CASE s_suppkey % 4 WHEN 0 THEN map('SourceMap', 'h.map') ELSE map('x', 'y') END AS headers", "CASE s_suppkey % 4 WHEN 1 THEN concat('var a;//# sourceMappingURL=long', s_suppkey, '.map ;') WHEN 2 THEN 'a//# sourceMappingURL=#x' ELSE 'var a;' END AS text")
+    d = d.withColumn("found", F.get(urls.source_map_of(c("headers"), c("text")), 0))
+    body = urls.rewrite_source_map(c("text"), F.coalesce("found", F.lit("none")), F.lit("m.map"), keep_length=True)
+    return d.select("s_suppkey", "found", F.replace(body, F.lit(" ;"), F.lit(";")).alias("body"))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 304 ELSE 200 END AS code, CASE WHEN page_id % 3 = 0 THEN {ROOT.format('url')} || '/moved/' || page_id || '.html' ELSE url END AS went FROM pages)
+SELECT page_id, CASE WHEN went <> url THEN went END AS redirected_url, CASE WHEN went <> url THEN {SAVE.format('went')} END AS redirected_save_path FROM p WHERE code <> 304""")
+def redirects(spark, sf_dir):
+    """Responses: unchanged pages are dropped; redirected ones go through the stages once more."""
+    d = table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{fixed.HTML} AS type", "CASE WHEN page_id % 5 = 0 THEN 304 ELSE 200 END AS status_code", "html AS body")
+    d = d.withColumn("response_url", F.when(c("page_id") % 3 == 0, F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/moved/"), c("page_id"), F.lit(".html"))).otherwise(c("url"))).withColumn("save_path", urls.save_path(c("url"), c("type")))
+    return requests.follow_redirects(requests.respond(d, CFG), CFG, "page_id").select("page_id", "redirected_url", "redirected_save_path")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false ELSE false END AS warned, CASE WHEN o_custkey % 3 = 0 THEN 200 * (o_orderkey % 30) WHEN o_custkey % 3 = 1 AND o_custkey % 2 = 0 THEN 300 * (o_orderkey % 30) END::BIGINT * CASE WHEN o_orderkey % 30 <= 25 THEN 1 END AS wait_ms, CASE WHEN o_custkey % 2 = 0 THEN 'append' WHEN o_orderkey % 2 = 0 THEN 'restart' ELSE 'replace' END AS how FROM orders")
+def request_outcomes(spark, sf_dir):
+    """Non-HTML warnings, the outer retry loop, and how a broken download goes on."""
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "CASE o_orderkey % 4 WHEN 0 THEN array('text/html; charset=utf-8') WHEN 1 THEN array('image/png', 'text/plain') WHEN 2 THEN array('image/png', 'application/xhtml+xml') ELSE array() END AS kinds")
+    name = F.when(c("o_custkey") % 3 == 1, "RequestError").when(c("o_custkey") % 3 == 2, "HTTPError")
+    wait = requests.manual_wait(c("o_orderkey") % 30, F.lit(0), name, F.lit(""), F.when(c("o_custkey") % 2 == 0, "ETIMEDOUT").otherwise("EOTHER"))
+    how = requests.resume(F.lit(10), F.lit("bytes"), F.when(c("o_custkey") % 2 == 0, 206).when(c("o_orderkey") % 2 == 0, 416).otherwise(200), F.lit("bytes 10-99/100"))
+    return d.select("o_orderkey", requests.not_html(c("kinds").cast("array<string>")).alias("warned"), wait.alias("wait_ms"), how.alias("how"))
+
+
+@query(f"""WITH s AS (SELECT o_orderkey % 3 AS k, {STATUS} AS status, (o_orderkey % 4)::BIGINT AS attempt FROM orders)
+SELECT type, level, count(*)::BIGINT AS n FROM (SELECT 'custom.' || status AS type, 'info' AS level FROM s WHERE status NOT IN ('error') UNION ALL SELECT 'error', 'error' FROM s WHERE status = 'error' UNION ALL SELECT 'retry', CASE WHEN attempt <= 1 THEN 'info' ELSE 'warn' END FROM s) GROUP BY 1, 2""")
+def event_log(spark, sf_dir):
+    """Records of statuses, errors and retries, counted by kind and level."""
+    d = table(spark, sf_dir, "orders").selectExpr(f"{STATUS} AS status", "CAST(o_orderkey AS string) AS url", "o_orderkey % 4 AS attempt", "100 AS delay_ms", "'HTTPError' AS error")
+    _, failed = events.handle_errors(d.filter("status = 'error'"), c("error"), c("status"))
+    told = events.events(d.filter("status <> 'error'"), c("status"), F.lit("info"), c("url"))
+    return events.shown(told.unionByName(failed).unionByName(events.retry_log(d))).groupBy("type", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {LINKS}, s AS (SELECT page_id, ordinal, raw_url, {ROOT.format('ref_url')} || raw_url AS url FROM l WHERE NOT contains(raw_url, 'a'))
+SELECT page_id, ordinal, url, {HOST.format('url')} || '/own/' || ordinal AS save_path, contains(raw_url, 'e') AS discard FROM s""")
+def hooks(spark, sf_dir):
+    """Links with 'a' are skipped, those with 'e' aren't asked for, and all get paths of their own."""
+    cfg = CFG.merged(link_redirect=(stages.skip_when(c("raw_url").contains("a")),), save_path=(pipeline.wrap_save_path(lambda d: F.concat(urls.hostname(d["_full"]), F.lit("/own/"), d["ordinal"])),), before_download=(stages.discard_when(c("raw_url").contains("e")),))
+    return pipeline.Pipeline(cfg).create(page_links(spark, sf_dir)).select("page_id", "ordinal", "url", "save_path", "discard")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'hit' WHEN o_custkey % 3 = 0 THEN 'notFound' WHEN o_custkey % 3 = 1 THEN 'error' ELSE 'fallthrough' END AS status,
+CASE WHEN o_custkey % 2 = 0 THEN 'skip' ELSE 'overwrite' END AS skip_existing, 'ifModifiedSince' AS prefer_newer FROM orders""")
+def miss_policy(spark, sf_dir):
+    d = table(spark, sf_dir, "orders")
+    policy = F.when(c("o_custkey") % 3 == 0, "return404").when(c("o_custkey") % 3 == 1, "throw").otherwise("fallthrough")
+    stage = F.when(c("o_custkey") % 2 == 0, "download").otherwise("saveToDisk")
+    return d.select("o_orderkey", mounts.miss_status(F.when(c("o_orderkey") % 2 == 0, "x"), policy).alias("status"), mounts.preset("skipExisting", stage).alias("skip_existing"), mounts.preset("preferNewerRemote", stage).alias("prefer_newer"))
+
+
+@query(f"""WITH m(mount_id, root, origin, prefix, priority) AS (VALUES {_M}), p AS (SELECT page_id, url, lower({ROOT.format('url')}) AS o, {PATH.format('url')} AS path FROM pages),
+j AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, length(prefix) DESC, mount_id) AS rn FROM p JOIN m ON o = origin AND starts_with(path, prefix)),
+r AS (SELECT *, path[length(prefix) + 1:] AS rest FROM j WHERE rn = 1)
+SELECT page_id, CASE WHEN page_id % 2 = 1 OR rest = '' OR ends_with(rest, '/') THEN 'notFound' WHEN page_id % 4 = 0 THEN 'tooLarge' ELSE 'hit' END AS status, CASE WHEN page_id % 2 = 0 AND rest <> '' AND NOT ends_with(rest, '/') THEN root || '/' || rest || '.html' END AS path, CASE WHEN page_id % 2 = 0 AND rest <> '' AND NOT ends_with(rest, '/') THEN '1995-06-01T00:00:00.000Z' END AS modified FROM r""")
+def mount_source(spark, sf_dir):
+    """Requests answered from mounted folders: every other page has a file, under its name with .html."""
+    dim = spark.createDataFrame([tuple(m.values()) for m in mounts.check_mounts([{"root": r, "url_prefix": p, "priority": q} for r, p, q in MOUNTS])], "mount_id int, root string, origin string, prefix string, priority int")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{fixed.HTML} AS type")
+    have = mounts.route(pages.filter("page_id % 2 = 0"), dim).filter("rest <> '' AND NOT endswith(rest, '/')")
+    held = have.groupBy(F.concat(c("root"), F.lit("/"), c("rest"), F.lit(".html")).alias("path")).agg(F.min(F.when(c("page_id") % 4 == 0, 1000).otherwise(10)).cast("bigint").alias("length")).selectExpr("path", "TIMESTAMP '1995-06-01 00:00:00' AS modified", "length", "CAST('x' AS binary) AS content")
+    return mounts.mount_source(pages, dim, held, limit=100).select("page_id", "status", "path", c("headers")["last-modified"].alias("modified"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat('d', p_partkey, '/index.html') WHEN 1 THEN concat('f', p_partkey, '.txt') END AS path, CASE p_partkey % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/plain; charset=utf-8' END AS kind FROM part")
+def local_source(spark, sf_dir):
+    d = table(spark, sf_dir, "part")
+    asked = d.selectExpr("p_partkey", "CASE p_partkey % 3 WHEN 0 THEN concat('file:///srv/d', p_partkey, '/?q#h') WHEN 1 THEN concat('file:///srv/f', p_partkey, '.txt') ELSE concat('file:///srv/none', p_partkey) END AS url", f"CASE WHEN p_partkey % 3 = 0 THEN {fixed.HTML} ELSE {fixed.BINARY} END AS type")
+    held = d.filter("p_partkey % 3 < 2").selectExpr("CASE p_partkey % 3 WHEN 0 THEN concat('d', p_partkey, '/index.html') ELSE concat('f', p_partkey, '.txt') END AS path", "TIMESTAMP '1995-06-01 00:00:00' AS modified", "7L AS length", "CAST('x' AS binary) AS content")
+    return files.local_source(asked, held, "/srv", "p_partkey").select("p_partkey", "path", c("headers")["content-type"].alias("kind"))
+
+
+@query("SELECT page_id, replace(html, '<p>', '<P>') AS body, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, 1000::BIGINT AS wait_ms, 2500::BIGINT AS download_ms FROM pages")
+def user_transform(spark, sf_dir):
+    """A caller's own page transform, and the columns that derive from a row."""
+    d = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "html AS body", f"{fixed.HTML} AS type", "TIMESTAMP '2020-01-01 00:00:00' AS created", "TIMESTAMP '2020-01-01 00:00:01' AS begun", "TIMESTAMP '2020-01-01 00:00:03.5' AS done")
+    upper = pipeline.html_transform(lambda page: page.replace("<p>", "<P>"))
+    return pipeline.normalise(upper(d)).select("page_id", "body", "host", "wait_ms", "download_ms")
+
+
+_RULED = [(i, *r) for i, r in enumerate(fixed.LINK_RULES) if r[2] is not None and r[2] not in ("srcset", "style") and r[0] != "*"]
+
+
+@query("SELECT s_suppkey, rule_id::INT AS rule_id, concat('u', s_suppkey, '-', rule_id) AS raw_url, type::INT AS type FROM supplier, (VALUES " + ", ".join(f"({i}, {kind})" for i, _, _, _, _, kind in _RULED) + ") AS r(rule_id, type)")
+def link_rules(spark, sf_dir):
+    """A page for each supplier with one element for every rule that reads a plain attribute of a named element."""
+
+    def element(i, tag, ancestor, attr, condition, kind):
+        more = f' {condition[0]}="{condition[2]}"' if condition else ""
+        inner = f'<{tag}{more} {attr}="u@-{i}">'
+        return f"<{ancestor}>{inner}</{ancestor}>" if ancestor else inner + (f"</{tag}>" if tag in ("script", "iframe", "a", "video", "audio", "object") else "")
+
+    page = "<html><body>" + "".join(element(*r) for r in _RULED) + "</body></html>"
+    d = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("http://h/").alias("url"), F.replace(F.lit(page), F.lit("@"), c("s_suppkey").cast("string")).alias("html"))
+    return markup.extract_links(d, "s_suppkey").select("s_suppkey", "rule_id", "raw_url", "type")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spindle.functions import fixed
 
@@ -168,12 +172,28 @@ def detect_type(u: Column, kind: Column) -> Column:
     return F.when(is_sitemap(u), fixed.SITEMAP).when(kind == fixed.HTML, typed).otherwise(kind).cast("int")
 
 
-META_REFRESH = r"(?i)^\s*(\d+)(?:\s*;(?:\s*url\s*=)?\s*(?:[\"']\s*(.*?)\s*['\"]|(.*?)))?\s*$"
+def refresh_target(content: str) -> tuple[int, int] | None:
+    """[U13] Place of a refresh's target in the attribute: after the seconds and a semicolon, without url= and quotes."""
+    seconds, semicolon, rest = content.partition(";")
+    if not semicolon or not seconds.strip().isdigit():
+        return None
+    start, end = len(content) - len(rest.lstrip()), len(content.rstrip())
+    if content[start : start + 3].lower() == "url" and content[start + 3 : end].lstrip().startswith("="):
+        start = content.index("=", start) + 1
+        start += len(content[start:end]) - len(content[start:end].lstrip())
+    if end - start >= 2 and content[start] in "\"'" and content[end - 1] in "\"'":
+        inner = content[start + 1 : end - 1]
+        start, end = start + 1 + len(inner) - len(inner.lstrip()), end - 1 - (len(inner) - len(inner.rstrip()))
+    return (start, end) if start < end else None
 
 
 def meta_refresh(content: Column) -> Column:
-    """[U13] Target of a refresh, null if there is none."""
-    return F.coalesce(F.nullif(F.regexp_extract(content, META_REFRESH, 2), F.lit("")), F.nullif(F.regexp_extract(content, META_REFRESH, 3), F.lit("")))
+    """[U13] Target of a refresh, null if there is none; the same steps as ``refresh_target``, native."""
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    semicolon = F.instr(content, ";")
+    rest = F.regexp_replace(trimmed(F.substr(content, semicolon + 1)), r"(?i)^url\s*=\s*", "")
+    bare = F.when(rest.rlike("^[\"'](?s:.*)[\"']$"), trimmed(F.substr(rest, F.lit(2), F.greatest(F.length(rest) - 2, F.lit(0))))).otherwise(rest)
+    return F.when((semicolon > 0) & trimmed(F.substring_index(content, ";", 1)).rlike("^[0-9]+$"), F.nullif(bare, F.lit("")))
 
 
 def dedupe_key(u: Column, strip_search: bool = True) -> Column:
@@ -183,7 +203,7 @@ def dedupe_key(u: Column, strip_search: bool = True) -> Column:
 
 def to_text(body: Column, charset: str = "UTF-8") -> Column:
     """[U15]"""
-    return F.decode(body, F.lit(charset))
+    return F.decode(body, charset)
 
 
 def raw_path(u: Column) -> Column:
@@ -220,6 +240,54 @@ def same_range_start(start: Column, content_range: Column) -> Column:
     return F.coalesce(F.regexp_extract(content_range, r"^\s*bytes\s+(\d+)\s*-", 1).try_cast("bigint") == start, F.lit(False))
 
 
+def encode_uri(text: str) -> str:
+    """[U16] Escapes undone but for reserved ones, then done again over the whole; a malformed text stays as it is."""
+    from urllib.parse import quote, unquote_to_bytes
+
+    try:
+        # an escape of a reserved character keeps its percent sign, which is escaped in its turn
+        kept = re.sub(r"%(?=(?:3B|2F|3F|3A|40|26|3D|2B|24|2C|23))", "%25", text, flags=re.I)
+        if re.search(r"%(?![0-9A-Fa-f]{2})", text):
+            return text
+        return quote(unquote_to_bytes(kept).decode("utf-8"), safe=";,/?:@&=+$-_.!~*'()#")
+    except UnicodeDecodeError:
+        return text
+
+
+@F.pandas_udf(StringType())
+def normal_uri(links: pd.Series) -> pd.Series:
+    """[U16] as a column."""
+    return links.map(encode_uri, na_action="ignore")
+
+
+def decoded(body: Column, own: Column, given: Column) -> Column:
+    """[X13] A body's text by its own charset, else the given one, else UTF-8; unknown charsets count as UTF-8."""
+    name = F.regexp_replace(F.lower(F.coalesce(own, given, F.lit("utf8"))), "[^a-z0-9]", "")
+    text = F.decode(body, "UTF-8")
+    for names, charset in ((("latin1", "iso88591", "binary"), "ISO-8859-1"), (("ascii", "usascii"), "US-ASCII"), (("utf16le", "ucs2"), "UTF-16LE"), (("utf16be",), "UTF-16BE"), (("utf16",), "UTF-16")):
+        text = F.when(name.isin(*names), F.decode(body, charset)).otherwise(text)
+    return text
+
+
+def source_map_of(headers: Column, body: Column) -> Column:
+    """[X10] The header's URL first, then those the body announces."""
+    named = F.coalesce(F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == "sourcemap")), 0), F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == "x-sourcemap")), 0))
+    return F.array_distinct(F.concat(F.when(F.coalesce(named, F.lit("")) != "", F.array(named)).otherwise(F.array().cast("array<string>")), source_map_urls(body)))
+
+
+def rewrite_source_map(body: Column, link: Column, new: Column, keep_length: bool = False) -> Column:
+    """[W4] ``link`` where a body announces it becomes ``new``; with ``keep_length`` a shorter one is padded with blanks.
+
+    A link that is missing, unchanged or a mere fragment leaves the body alone.
+    """
+    at = F.lit(0)
+    for p in reversed(fixed.SOURCE_MAP_PREFIXES):
+        here = F.instr(body, F.concat(F.lit(p), link))
+        at = F.when(here > 0, here + len(p)).otherwise(at)
+    put = F.rpad(new, F.greatest(F.length(link), F.length(new)), F.lit(" ")) if keep_length else new
+    return F.when((at > 0) & (link != new) & (new != "") & ~link.startswith("#"), F.overlay(body, put, at, F.length(link))).otherwise(body)
+
+
 def source_map_urls(body: Column) -> Column:
     """[X10] First URL after each of the three announcements."""
     found = [F.regexp_extract(body, "(?s)" + r"\Q" + p + r"\E" + f"([{fixed.URI_CHARS}]+)", 1) for p in fixed.SOURCE_MAP_PREFIXES]

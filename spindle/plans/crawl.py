@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindle.functions import fixed, urls
-from spindle.operators.markup import extract_links
-from spindle.plans.stages import CrawlConfig, apply_hooks, create_resources, fetched
+from spindle.plans.pipeline import Pipeline
+from spindle.plans.requests import seen_keys
+from spindle.plans.stages import CrawlConfig, create_resources, fetched
 
 
 def first_by_key(df: DataFrame, key: str, *order) -> DataFrame:
@@ -41,7 +43,17 @@ def saver(spark: SparkSession, folder: str):
     return save
 
 
-def crawl(spark: SparkSession, seeds: list[str], pages: DataFrame, cfg: CrawlConfig, folder: str) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share; a temporary one only with a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spindle-")
+    return found.rstrip("/")
+
+
+def crawl(spark: SparkSession, seeds: list[str] | DataFrame, pages: DataFrame, cfg: CrawlConfig, folder: str) -> DataFrame:
     """[S1, S2, G1-G3] All resources reached from ``seeds`` within ``cfg.max_depth`` levels, with bodies where the corpus has them.
 
     Each level is written to ``folder`` (shared storage), which cuts lineage; children of a level are resolved,
@@ -49,10 +61,10 @@ def crawl(spark: SparkSession, seeds: list[str], pages: DataFrame, cfg: CrawlCon
     """
     cfg = cfg.checked()
     save = saver(spark, folder)
-    for hook in cfg.init:
-        seeds = [*seeds, *(hook() or [])]
-    rows = [(u, u, "", 0, 0, fixed.HTML) for u in dict.fromkeys(seeds)]
-    found = spark.createDataFrame(rows, "raw_url string, ref_url string, ref_save_path string, depth int, ordinal int, type int")
+    more = [u for hook in cfg.init for u in hook() or []]
+    first = seeds.select(F.col("url").alias("raw_url")) if isinstance(seeds, DataFrame) else spark.createDataFrame([(u,) for u in seeds], "raw_url string")
+    first = first.unionByName(spark.createDataFrame([(u,) for u in more], "raw_url string")).distinct()
+    found = first.selectExpr("raw_url", "raw_url AS ref_url", "'' AS ref_save_path", "0 AS depth", "0 AS ordinal", f"{fixed.HTML} AS type")
     found = found.withColumn("ref_save_path", urls.save_path(F.col("ref_url"), F.col("type"), cfg.keep_search))
     seen, done = None, None
     for depth in range(cfg.max_depth + 1):
@@ -60,14 +72,14 @@ def crawl(spark: SparkSession, seeds: list[str], pages: DataFrame, cfg: CrawlCon
         level = first_by_key(level.filter(~F.col("discard")), "key", "ref_url", "ordinal")
         if seen is not None:
             level = level.join(seen.select("key"), "key", "left_anti")
-        level = save(apply_hooks(fetched(level, pages, cfg), cfg.after_download))
-        seen = level.select("key") if seen is None else seen.union(level.select("key"))
+        level, found = Pipeline(cfg).after(save(fetched(level, pages, cfg)))
+        keys = seen_keys(level, cfg) if "redirected_url" in level.columns else level.select("key")
+        seen = keys if seen is None else seen.union(keys)
         done = level if done is None else done.unionByName(level)
         if depth == cfg.max_depth or level.isEmpty():
             break
-        kids = extract_links(level.filter(F.col("body").isNotNull() & (F.col("type") == fixed.HTML)).select("key", "url", "save_path", "body"), "key", "url", "body", rules=cfg.rules)
-        parents = level.select(F.col("key").alias("_k"), F.col("save_path").alias("ref_save_path"), "depth")
-        found = kids.join(parents, kids["key"] == F.col("_k")).select("raw_url", F.col("url").alias("ref_url"), "ref_save_path", (F.col("depth") + 1).alias("depth"), "ordinal", "type")
+        parents = level.select(F.col("key").alias("_k"), F.col("url").alias("ref_url"), F.col("save_path").alias("ref_save_path"), "depth")
+        found = found.join(parents, found["key"] == F.col("_k")).select("raw_url", "ref_url", "ref_save_path", (F.col("depth") + 1).alias("depth"), "ordinal", "type")
     for hook in cfg.dispose:
         hook()
     return done

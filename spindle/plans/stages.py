@@ -107,10 +107,15 @@ def create_resources(found: DataFrame, cfg: CrawlConfig) -> DataFrame:
 
 
 def fetched(frontier: DataFrame, pages: DataFrame, cfg: CrawlConfig) -> DataFrame:
-    """[S3, P8, R1] Bodies from a corpus by dedupe key; discarded and streamed rows aren't asked for."""
+    """[S3, P8, R1] Bodies from a corpus by dedupe key; discarded and streamed rows aren't asked for.
+
+    Which page answers a key is chosen without bodies, among keys of the frontier only; then just those bodies are read.
+    """
     key = lambda c: urls.dedupe_key(F.col(c), cfg.strip_search_for_dedupe)
-    corpus = pages.select(key("url").alias("_k"), F.col("html").alias("body"), "page_id").groupBy("_k").agg(F.min(F.struct("page_id", "body")).alias("_p"))
-    return frontier.filter(~F.col("discard") & (F.col("type") != fixed.STREAMING)).withColumn("_k", key("url")).join(corpus, "_k", "left").select(*frontier.columns, F.col("_p.page_id").alias("page_id"), F.col("_p.body").alias("body"))
+    asked = frontier.filter(~F.col("discard") & (F.col("type") != fixed.STREAMING)).withColumn("_k", key("url"))
+    chosen = pages.select(key("url").alias("_k"), "page_id").join(asked.select("_k"), "_k", "left_semi").groupBy("_k").agg(F.min("page_id").alias("page_id"))
+    bodies = pages.select(F.col("page_id").alias("_p"), F.col("html").alias("body")).join(chosen, F.col("_p") == F.col("page_id")).select("_k", "page_id", "body").groupBy("_k").agg(F.first("page_id").alias("page_id"), F.first("body").alias("body"))
+    return asked.join(bodies, "_k", "left").select(*frontier.columns, "page_id", "body")
 
 
 def first_bodies(df: DataFrame, *bodies: str) -> DataFrame:

@@ -16,6 +16,37 @@ def local_files(spark: SparkSession, root: str) -> DataFrame:
     return f.select(F.regexp_replace("path", "^.*?" + root.rstrip("/") + "/", "").alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
 
 
+def local_source(requests: DataFrame, files: DataFrame, root: str, id_col: str) -> DataFrame:
+    """[S6] Requests (id, url, type) of file: URLs below ``root``, from ``files`` (``local_files``).
+
+    An HTML request for a folder takes its index.html or index.htm. Adds path, headers (as a server would send) and body.
+    """
+    from spindle.sources import mounts
+
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^file://", ""), r"[?#].*$", ""), "^" + root.rstrip("/") + "/?", "")
+    base = F.regexp_replace(rest, "/+$", "")
+    index = F.transform(F.array(F.lit("index.html"), F.lit("index.htm")), lambda n: F.when(base == "", n).otherwise(F.concat(base, F.lit("/"), n)))
+    tried = F.when(F.col("type") == fixed.HTML, F.concat(F.when(base == "", F.array().cast("array<string>")).otherwise(F.array(base)), index)).otherwise(F.array(base))
+    asked = requests.filter(F.col("url").startswith("file:")).withColumn("candidates", tried)
+    hit = mounts.first_existing(asked, files, id_col).join(files.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left")
+    return hit.select(id_col, "url", "path", F.when(F.col("path").isNotNull(), mounts.hit_headers(F.col("path"), F.col("modified"), F.col("length"))).alias("headers"), F.col("content").alias("body"))
+
+
+def html_body(serialised: Column, body: Column) -> Column:
+    """[K4] The page as rewritten, else as it came."""
+    return F.coalesce(serialised, body)
+
+
+def save_chain(resources: DataFrame, handlers) -> tuple[DataFrame, list[DataFrame]]:
+    """[P10] Runs (rows it takes, sink) handlers in order: each row is saved by the first that takes it; returns what is left and what sinks returned."""
+    told = []
+    for takes, sink in handlers:
+        mine = F.coalesce(takes, F.lit(False))
+        told.append(sink(resources.filter(mine)))
+        resources = resources.filter(~mine)
+    return resources, told
+
+
 def outputs(resources: DataFrame) -> DataFrame:
     """[K1-K3, P10] (path, content, modified): a file per resource, and on a redirect the body at its new path.
 

@@ -77,5 +77,27 @@ def http_date(t: Column) -> Column:
     return F.concat(F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
 
 
-# [R9] presets: the action for every resource
-SKIP_EXISTING, PREFER_NEWER, OVERWRITE = "skip", "ifModifiedSince", "overwrite"
+def preset(name: str, stage: Column) -> Column:
+    """[R9] The action of a preset at a stage: existing files aren't asked for again, but what is asked for is written."""
+    if name == "skipExisting":
+        return F.when(stage == "download", F.lit("skip")).otherwise(F.lit("overwrite"))
+    return F.lit({"preferNewerRemote": "ifModifiedSince", "alwaysOverwrite": "overwrite"}[name])
+
+
+def mount_source(requests: DataFrame, mounts: DataFrame, files: DataFrame, id_col: str = "page_id", case: str = "exact", limit: int | None = None, policy: str = "return404") -> DataFrame:
+    """[S7, R2-R7] Requests (id, url, type) answered from mounted folders.
+
+    ``files``: (path, modified, length, content) with absolute paths. Adds status (hit, notFound, error, fall through as
+    ``policy`` says, or tooLarge beyond ``limit`` bytes), path, headers and body; requests of no mount are left out.
+    """
+    routed = route(requests, mounts, id_col).join(requests.select(id_col, "type"), id_col)
+    tried = F.transform(candidates(F.col("rest"), F.col("type"), F.lit("")), lambda x: F.concat(F.col("root"), F.lit("/"), x))
+    hit = first_existing(routed.withColumn("candidates", tried), files, id_col, case).join(files.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left").drop("_p")
+    large = F.col("length") > (F.lit(limit) if limit is not None else F.lit(1 << 62))
+    status = F.when(large, "tooLarge").otherwise(miss_status(F.col("path"), F.lit(policy)))
+    return hit.select(id_col, "url", "mount_id", "path", status.alias("status"), F.when(F.col("path").isNotNull(), hit_headers(F.col("path"), F.col("modified"), F.col("length"))).alias("headers"), F.when(status == "hit", F.col("content")).alias("body"))
+
+
+def hit_headers(path: Column, modified: Column, length: Column) -> Column:
+    """[S6, R7] The headers a file answers with."""
+    return F.create_map(F.lit("last-modified"), F.concat(F.date_format(modified, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")), F.lit("content-length"), length.cast("string"), F.lit("content-type"), urls.content_type(path))

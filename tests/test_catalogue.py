@@ -12,6 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_same_rows_as_sql(spark, name):
     assert difference(spark, catalogue.QUERIES[name], catalogue.ORACLES[name], SMALL) == ""
+    assert not catalogue.QUERIES[name](spark, SMALL).isEmpty()
 
 
 def test_entry_and_names(spark):

@@ -75,7 +75,7 @@ def test_markup():
     page = '<style>a{b:url(x.png)}</style><img srcset="a.png 1x, b.png 2x"><svg><a href="u"/></svg><a href="?a=1&amp;b=2">x</a><meta http-equiv="Refresh" content="1; url=z"><iframe srcdoc="<a href=q>"></iframe>'
     found = markup.links(page)
     assert [r[5] for r in found] == ["x.png", "a.png", "b.png", "u", "?a=1&b=2", "z", "q"]
-    assert markup.splice(page, [(r[6], r[7], page[r[6] : r[7]]) for r in found if "&" not in page[r[6] : r[7]]]) == page
+    assert markup.splice(page, [(r[6], r[7], page[r[6] : r[7]], r[3]) for r in found if "&" not in page[r[6] : r[7]]]) == page
     assert len(fixed.LINK_RULES) == 35
 
 
