@@ -11,9 +11,8 @@ BITS = 1 << 24
 SLICES = 16
 
 
-def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_may``: whether the row's key can be among ``ids``."""
-    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+def bit_table(ids: DataFrame, at) -> np.ndarray:
+    """The bits ``at`` (a column of numbers below BITS) of all rows, as bytes."""
     width = BITS // 8 // SLICES
     marks = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 8).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at % 8 AS int)))").alias("bits"))
 
@@ -27,7 +26,17 @@ def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     table = np.zeros((SLICES, width), np.uint8)
     for r in marks.withColumn("slice", F.floor(F.col("byte") / width)).groupBy("slice").applyInArrow(gather, "slice long, bits binary").collect():
         table[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    return table.reshape(-1)
+
+
+def has_bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_may``: whether the row's key can be among ``ids``."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    shared = rows.sparkSession.sparkContext.broadcast(bit_table(ids, at))
     out = rows.withColumn("_may", at)
 
     def run(batches):
@@ -36,16 +45,15 @@ def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
         held = shared.value
         for batch in batches:
             x = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            may = ((held[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(np.int64)
+            may = has_bit(held, x).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(may)], names=batch.schema.names)
 
     return out.mapInArrow(run, out.schema)
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str, exact: bool = True) -> DataFrame:
-    """Rows whose key is in ``ids`` (one column named ``key``); if not ``exact``, a few others may stay."""
-    may = _flagged(rows, ids, key).filter("_may = 1").drop("_may")
-    return may.join(ids, key, "left_semi") if exact else may
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``ids`` (one column named ``key``)."""
+    return _flagged(rows, ids, key).filter("_may = 1").drop("_may").join(ids, key, "left_semi")
 
 
 def outside(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

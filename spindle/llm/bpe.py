@@ -227,7 +227,7 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
 
     def _new(self, word: str) -> bytes:
-        if len(self.cache) >= CACHE:
+        if len(self.cache) >= CACHE // 3:
             self.cache.clear()
         pieces = [word] if word.isalpha() else self.find(word)
         if not (word.isascii() and word.isprintable()):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.bits import among
+from spindle.llm.bits import BITS, bit_table, has_bit
 from spindle.llm.graph import components
 from spindle.llm.kernel import tidy
 from spindle.llm.scratch import Scratch, parts
@@ -197,22 +197,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shards: int, scratch: Scratch,
     shuffle; a join then drops the rest, so the table only saves work.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    whole = kind in ("bigint", "int")
+    mark = F.pmod(F.col("k").bitwiseXOR(F.coalesce(F.col("id").cast("bigint"), F.lit(0))) if whole else F.col("k"), F.lit(BITS))
+    shared = scratch.share(bit_table(wanted, mark))
 
     def keys(batches):
         import pyarrow as pa
 
+        bits = shared.value
         for batch in _slices(batches, 1):
-            found = list(shingle_sets(batch.column(1), width))
-            keep = [i for i, s in found if len(s)]
+            found = [(i, s, set_key(s)) for i, s in shingle_sets(batch.column(1), width) if len(s)]
+            at = np.array([k for _, _, k in found], np.int64)
+            if whole and len(found):
+                at = at ^ batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[[i for i, _, _ in found]]
+            may = has_bit(bits, np.mod(at, BITS))
+            found = {i: (s, k) for (i, s, k), m in zip(found, may) if m}
+            keep = list(found)
             at = pa.array(keep, pa.int64())
-            cells = [np.bincount((found[i][1] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([set_key(found[i][1]) for i in keep], pa.int64()), pa.array(cells, pa.binary()), batch.column(1).take(at)], names=["id", "k", "cells", "text"])
+            cells = [np.bincount((found[i][0] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32).tobytes() for i in keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([found[i][1] for i in keep], pa.int64()), pa.array(cells, pa.binary()), batch.column(1).take(at)], names=["id", "k", "cells", "text"])
         tidy()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(keys, f"id {kind}, k long, cells binary, text string").withColumn("h", F.xxhash64("k", "id"))
-    rows = among(rows, wanted.select(F.xxhash64("k", "id").alias("h")), "h", exact=False)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(keys, f"id {kind}, k long, cells binary, text string")
     rows = rows.join(wanted, (rows["k"] == wanted["k"]) & rows["id"].eqNullSafe(wanted["id"]), "left_semi").select("k", "cells", "text").dropDuplicates(["k"])
-    return scratch.bucketed(rows, "k", shards, "sets")
+    out = scratch.bucketed(rows, "k", shards, "sets")
+    scratch.unshare()
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:

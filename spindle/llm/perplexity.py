@@ -211,38 +211,23 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
         for batch in batches:
             a, b = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
             more = [t[x].astype(np.float64) for t, x in ((tab.total, a), (tab.back, a), (tab.lower, b))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, mask=np.isnan(x)) for x in more)], names=["a", "b", "n", "total", "back", "lower"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_pair_key(a, b).view(np.int64)), *(pa.array(x, mask=np.isnan(x)) for x in more)], names=["a", "b", "n", "key", "total", "back", "lower"])
+        tidy()
 
     # words that each task holds are settled where the pair is, so only rare ones are joined by their hash
-    names = ["a", "b", "n", "total", "back", "lower"]
-    filled = pairs.mapInArrow(fill, "a long, b long, n long, total double, back double, lower double")
-    rare = filled.filter("total is null").select("a", "b", "n", "lower").join(words.select(F.col("w").alias("a"), F.col("total").cast("double").alias("total"), "back"), "a").select(*names)
+    names = ["a", "b", "n", "key", "total", "back", "lower"]
+    filled = pairs.mapInArrow(fill, "a long, b long, n long, key long, total double, back double, lower double")
+    rare = filled.filter("total is null").select("a", "b", "n", "key", "lower").join(words.select(F.col("w").alias("a"), F.col("total").cast("double").alias("total"), "back"), "a").select(*names)
     filled = filled.filter("total is not null").unionByName(rare)
     rare = filled.filter("lower is null").drop("lower").join(words.select(F.col("w").alias("b"), "lower"), "b").select(*names)
     filled = filled.filter("lower is not null").unionByName(rare)
 
-    def of_pairs(batches):
-        import pyarrow as pa
-
-        tab = shared.value
-        for batch in batches:
-            a, b, n, whole, back, lower = (batch.column(i).to_numpy() for i in range(6))
-            own = np.maximum(n - tab.discount[np.minimum(n, 3)], 0) / whole
-            value = np.log(own + back * lower) - np.log(back) - np.log(lower)
-            yield pa.RecordBatch.from_arrays([pa.array(_pair_key(a.view(np.uint64), b.view(np.uint64)).view(np.int64)), pa.array(value.astype(np.float32)), batch.column(2)], names=["key", "value", "n"])
-
-    def of_words(batches):
-        import pyarrow as pa
-
-        tab = shared.value
-        for batch in batches:
-            w, back, lower, n = (batch.column(i).to_numpy() for i in range(4))
-            value = np.log(lower) - np.log(tab.unknown) + np.log(back)
-            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(value.astype(np.float32)), pa.array(n)], names=["key", "value", "n"])
-
-    entries = filled.mapInArrow(of_pairs, "key long, value float, n long").unionByName(words.select("w", "back", "lower", "n").mapInArrow(of_words, "key long, value float, n long"))
+    own = F.greatest(F.col("n") - F.when(F.col("n") >= 3, d[3]).when(F.col("n") == 2, d[2]).otherwise(d[1]), F.lit(0.0)) / F.col("total")
+    of_pairs = filled.select("key", (F.log(own + F.col("back") * F.col("lower")) - F.log("back") - F.log("lower")).cast("float").alias("value"), "n")
+    of_words = words.select(F.col("w").alias("key"), (F.log("lower") - F.log(F.lit(tables.unknown)) + F.log("back")).cast("float").alias("value"), "n")
+    entries = of_pairs.unionByName(of_words)
     entries = scratch.save(entries, "entries")
-    del sides, words, filled, rare
+    del sides, words, filled, rare, of_pairs, of_words
     scratch.drop(pairs, stats)
     scratch.unshare()
     tables.hold_entries(_common(entries, "n").select("key", "value").toArrow().combine_chunks())
