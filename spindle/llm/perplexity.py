@@ -139,19 +139,22 @@ class Tables:
         # float32 holds their logarithms well enough, and three tables share their keys
         self.total, self.back, self.lower = (_Held(keys, v[order].astype(np.float32), np.nan) for v in (total, back, lower))
 
+    def drop_words(self) -> None:
+        self.total = self.back = self.lower = None
+
     def hold_entries(self, t) -> None:
         keys, value = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
         order = np.argsort(keys)
         self.entries = _Held(keys[order], value[order], np.nan)
 
 
-def _common(rows: DataFrame, n: str) -> DataFrame:
-    """The rows of greatest ``n``, COMMON at most, by a histogram."""
+def _common(rows: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of greatest ``n``, ``most`` at most, by a histogram."""
     step = F.floor(F.log2(n) * 4)
     least, have = None, 0
     for r in sorted(rows.groupBy(step.alias("step")).count().collect(), reverse=True):  # 256 steps at most
         have += r["count"]
-        if have > COMMON:
+        if have > most:
             break
         least = r["step"]
     return rows.filter(F.lit(False) if least is None else step >= least)
@@ -201,7 +204,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     left = F.col("ones") * d[1] + F.col("twos") * d[2] + F.col("more") * d[3]
     own = F.when(c >= 3, c - e[3]).when(c == 2, c - e[2]).when(c == 1, c - e[1]).otherwise(0.0)
     words = stats.select("w", "total", F.when(F.col("total") > 0, F.greatest(left / F.col("total"), F.lit(1e-6))).otherwise(1.0).alias("back"), ((F.greatest(own, F.lit(0.0)) + base) / float(all_)).alias("lower"), (F.col("total") + c).alias("n"))
-    tables.hold_words(_common(words, "n").select("w", F.col("total").cast("double"), "back", "lower").toArrow().combine_chunks(), base / all_)
+    tables.hold_words(_common(words, "n", COMMON // 2).select("w", F.col("total").cast("double"), "back", "lower").toArrow().combine_chunks(), base / all_)
     shared = scratch.share(tables)
 
     def fill(batches):
@@ -230,7 +233,8 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     del sides, words, filled, rare, of_pairs, of_words
     scratch.drop(pairs, stats)
     scratch.unshare()
-    tables.hold_entries(_common(entries, "n").select("key", "value").toArrow().combine_chunks())
+    tables.drop_words()
+    tables.hold_entries(_common(entries, "n", COMMON).select("key", "value").toArrow().combine_chunks())
 
     def packed(batches):
         import pyarrow as pa
@@ -425,8 +429,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     shards = max(SLICES, -(-int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // DEAL))
     model, tables, seen = _trained(size, shards, scratch)
     scratch.drop(size)
+    scratch.release()
     scored = scratch.save(perplexities(docs, model, tables, seen, shards, [id_col, lang_col, *carry], text_col, scratch), "scores")
     scratch.unshare()
+    del model, tables, seen
+    scratch.release()
     step = F.floor(F.log("perplexity") * 100).alias("step")
     judged = trusted.filter("_fold = 1").select("_id", F.lit(0).alias("_bad")).unionByName(low.select("_id", F.lit(1).alias("_bad")))
     held = scored.filter("perplexity is not null").join(judged, F.col(id_col) == F.col("_id")).groupBy(lang_col, step).agg(F.count(F.when(F.col("_bad") == 0, 1)).alias("good"), F.sum("_bad").alias("bad")).collect()  # languages times a few hundred steps

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindle.llm.kernel import tidy
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one only where none is set."""
@@ -90,6 +92,7 @@ class Scratch:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more; its listeners let go of the last one a little late."""
         for pause in (0.4, 0.2):
             gc.collect()
+            tidy()  # the driver's own memory
             time.sleep(pause)
             self.spark.sparkContext._jvm.System.gc()
 
