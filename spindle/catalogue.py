@@ -390,12 +390,12 @@ def miss_policy(spark, sf_dir):
 @query(f"""WITH m(mount_id, root, origin, prefix, priority) AS (VALUES {_M}), p AS (SELECT page_id, url, lower({ROOT.format('url')}) AS o, {PATH.format('url')} AS path FROM pages),
 j AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, length(prefix) DESC, mount_id) AS rn FROM p JOIN m ON o = origin AND starts_with(path, prefix)),
 r AS (SELECT *, path[length(prefix) + 1:] AS rest FROM j WHERE rn = 1)
-SELECT page_id, CASE WHEN NOT (rest <> '' AND NOT ends_with(rest, '/') AND NOT contains(rest, '.') AND length(rest) % 2 = 0) THEN 'notFound' WHEN length(rest) % 4 = 0 THEN 'tooLarge' ELSE 'hit' END AS status, CASE WHEN rest <> '' AND NOT ends_with(rest, '/') AND NOT contains(rest, '.') AND length(rest) % 2 = 0 THEN root || '/' || rest || '.html' END AS path, CASE WHEN rest <> '' AND NOT ends_with(rest, '/') AND NOT contains(rest, '.') AND length(rest) % 2 = 0 THEN '1995-06-01T00:00:00.000Z' END AS modified FROM r""")
+SELECT page_id, CASE WHEN NOT (regexp_replace(rest, '/$', '') <> '' AND NOT contains(rest, '.') AND length(regexp_replace(rest, '/$', '')) % 2 = 0) THEN 'notFound' WHEN length(regexp_replace(rest, '/$', '')) % 4 = 0 THEN 'tooLarge' ELSE 'hit' END AS status, CASE WHEN regexp_replace(rest, '/$', '') <> '' AND NOT contains(rest, '.') AND length(regexp_replace(rest, '/$', '')) % 2 = 0 THEN root || '/' || regexp_replace(rest, '/$', '') || '.html' END AS path, CASE WHEN regexp_replace(rest, '/$', '') <> '' AND NOT contains(rest, '.') AND length(regexp_replace(rest, '/$', '')) % 2 = 0 THEN '1995-06-01T00:00:00.000Z' END AS modified FROM r""")
 def mount_source(spark, sf_dir):
     """Requests answered from mounted folders: files are there for paths of even length without a dot, under their name with .html."""
     dim = spark.createDataFrame([tuple(m.values()) for m in mounts.check_mounts([{"root": r, "url_prefix": p, "priority": q} for r, p, q in MOUNTS])], "mount_id int, root string, origin string, prefix string, priority int")
     pages = table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"{fixed.HTML} AS type")
-    have = mounts.route(pages, dim).filter("rest <> '' AND NOT endswith(rest, '/') AND NOT contains(rest, '.') AND length(rest) % 2 = 0")
+    have = mounts.route(pages, dim).withColumn("rest", F.regexp_replace("rest", "/$", "")).filter("rest <> '' AND NOT contains(rest, '.') AND length(rest) % 2 = 0")
     held = have.groupBy(F.concat(c("root"), F.lit("/"), c("rest"), F.lit(".html")).alias("path")).agg(F.min(F.when(F.length("rest") % 4 == 0, 1000).otherwise(10)).cast("bigint").alias("length")).selectExpr("path", "TIMESTAMP '1995-06-01 00:00:00' AS modified", "length", "CAST('x' AS binary) AS content")
     return mounts.mount_source(pages, dim, held, limit=100).select("page_id", "status", "path", c("headers")["last-modified"].alias("modified"))
 
