@@ -23,7 +23,8 @@ class FingerprintIndex:
 
     A batch is joined with every run by fingerprint; as runs are bucketed and sorted, only the batch moves.
     Matches are verified by the words around them (``spans.repeated_spans``), never trusted as they are. Once
-    there are more than RUNS runs they are merged into one, which keeps each fingerprint's rows.
+    there are more than RUNS runs they are merged into one. As a batch has larger ids than all before it, the
+    row of least id stands for all history with equal core and hull, so groups of copies don't come back whole.
     """
 
     def __init__(self, scratch: Scratch, buckets: int):
@@ -32,17 +33,23 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> DataFrame:
         return self.scratch.bucketed(rows, "core", self.buckets, "run", ordered=True)
 
+    @staticmethod
+    def _least(rows: DataFrame) -> DataFrame:
+        """Of each core and hull the row of least id; a run is dealt by core, so none moves."""
+        rest = ["id", *(c for c in rows.columns if c not in ("core", "hull", "id"))]
+        return rows.groupBy("core", "hull").agg(F.min(F.struct(*rest)).alias("least")).select("core", "hull", "least.*")
+
     def history(self, batch: DataFrame) -> list[DataFrame]:
-        """From each run the rows whose fingerprint the batch has."""
+        """From each run the rows of least id whose fingerprint the batch has."""
         keys = batch.select("core").distinct()
-        return [run.join(keys, "core", "left_semi") for run in self.runs]
+        return [self._least(run.join(keys, "core", "left_semi")) for run in self.runs]
 
     def add(self, batch: DataFrame) -> None:
         self.runs.append(batch)
         if len(self.runs) > RUNS:
-            old, rows = self.runs, self.runs[0]
+            old, rows = self.runs, self._least(self.runs[0])
             for r in old[1:]:
-                rows = rows.unionByName(r)
+                rows = rows.unionByName(self._least(r))
             self.runs = [self._write(rows)]
             self.scratch.drop(*old)
 
