@@ -59,12 +59,15 @@ class Scratch:
         out._spindle_path = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str, ordered: bool = False) -> DataFrame:
-        """Deals the rows by ``key`` once, sorted by it if ``ordered``; later joins on it move only the other side."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str, ordered: bool = False, dealt: bool = False) -> DataFrame:
+        """Deals the rows by ``key`` once, sorted by it if ``ordered``; later joins on it move only the other side.
+
+        ``dealt``: ``df`` comes from a ``groupBy`` of ``key`` and isn't dealt again.
+        """
         path = self._path(name)
         table = f"spindle_{name}_{uuid.uuid4().hex[:12]}"
-        dealt = df.repartition(buckets, key)
-        writer = (dealt.sortWithinPartitions(key) if ordered else dealt).write.bucketBy(buckets, key)
+        df = df if dealt else df.repartition(buckets, key)
+        writer = df.write.bucketBy(buckets, key)  # sortBy sorts within each bucket
         (writer.sortBy(key) if ordered else writer).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
         out = self.spark.table(table)
         out.schema  # resolved now: the files stay, and no name is left in the catalogue

@@ -121,10 +121,10 @@ def _split(texts: DataFrame, nodes: DataFrame, plan: Plan, fan: int) -> DataFram
     return joined.mapInArrow(run, f"{NODES}, id {kind}")
 
 
-def repeated_spans(nodes: DataFrame, texts: DataFrame, plan: Plan, scratch: Scratch, earlier: bool) -> DataFrame:
+def repeated_spans(nodes: DataFrame, texts: DataFrame, plan: Plan, scratch: Scratch, earlier: bool, cores: DataFrame | None = None) -> DataFrame:
     """(row, start, end) of windows, of fresh nodes, that occur elsewhere (``earlier``: in a row with a smaller id).
 
-    ``nodes``: root nodes, written out. Keys are counted with partial sums and joined back as a table of their
+    ``nodes``: root nodes, written out. ``cores``: (core, core_low) of those root cores that occur again, if known. Keys are counted with partial sums and joined back as a table of their
     own, so a key that a third of all texts has costs its rows, spread by AQE, and no list of them is made.
     """
     spans = []
@@ -132,7 +132,8 @@ def repeated_spans(nodes: DataFrame, texts: DataFrame, plan: Plan, scratch: Scra
         single = level == len(plan.fans)
         stats = [F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")]
         again = (F.col("low") < F.col("high")) if earlier else (F.col("n") > 1)
-        cores = scratch.save(nodes.groupBy("core").agg(*stats).filter(again).select("core", F.col("low").alias("core_low")), "cores")
+        if level or cores is None:
+            cores = scratch.save(nodes.groupBy("core").agg(*stats).filter(again).select("core", F.col("low").alias("core_low")), "cores")
         held = scratch.save(nodes.join(cores, "core"), "held")
         if single:
             done = held.filter("fresh").filter(F.col("core_low") < F.col("id")) if earlier else held.filter("fresh")

@@ -21,23 +21,28 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 class FingerprintIndex:
     """Immutable runs of window fingerprints, each dealt and sorted by fingerprint when written.
 
-    A batch is joined with every run by fingerprint; as runs are bucketed and sorted, only the batch moves.
-    Matches are verified by the words around them (``spans.repeated_spans``), never trusted as they are. Once
-    there are more than RUNS runs they are merged into one, which keeps each fingerprint's rows.
+    A run has one row (core, low, high) a fingerprint: the least and the greatest id that it occurs in, summed up
+    before the rows move, so a fingerprint that a third of all texts has is one row a task. A batch is merge-joined
+    with every run; as all are bucketed alike, no row moves for that. Once there are more than RUNS runs they are
+    compacted into one.
     """
 
     def __init__(self, scratch: Scratch, buckets: int):
         self.scratch, self.buckets, self.runs = scratch, buckets, []
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        return self.scratch.bucketed(rows, "core", self.buckets, "run", ordered=True)
-
-    def history(self, batch: DataFrame) -> list[DataFrame]:
-        """From each run the rows whose fingerprint the batch has."""
-        keys = batch.select("core").distinct()
-        return [run.join(keys, "core", "left_semi") for run in self.runs]
-
-    def add(self, batch: DataFrame) -> None:
+        run = rows.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        return self.scratch.bucketed(run, "core", self.buckets, "run", ordered=True, dealt=True)
+
+    def add(self, nodes: DataFrame) -> DataFrame:
+        """Adds a batch of nodes; (core, core_low) of its fingerprints that two ids have, of this batch or of any before."""
+        batch = self._write(nodes.select("core", F.col("id").alias("low"), F.col("id").alias("high")))
+        found, lows = batch, [F.col("low")]
+        for k, run in enumerate(self.runs):
+            found = found.join(run.select("core", F.col("low").alias(f"low{k}")), "core", "left")
+            lows.append(F.col(f"low{k}"))
+        found = found.select("core", F.least(*lows).alias("core_low") if len(lows) > 1 else lows[0].alias("core_low"), "high")
+        found = self.scratch.save(found.filter("core_low < high").select("core", "core_low"), "found")
         self.runs.append(batch)
         if len(self.runs) > RUNS:
             old, rows = self.runs, self.runs[0]
@@ -45,6 +50,7 @@ class FingerprintIndex:
                 rows = rows.unionByName(r)
             self.runs = [self._write(rows)]
             self.scratch.drop(*old)
+        return found
 
 
 def _edges(texts: DataFrame, batches: int) -> list:
@@ -60,7 +66,8 @@ def remove_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A word goes if a window of ``plan.length`` words covers it whose word sequence also starts in a document
     with a smaller id. Documents come in ``batches`` by ascending id range, as they would arrive; each batch is
-    matched with the index of all before it and with itself, and then added.
+    matched with the index of all before it and with itself, and then added. Matches are verified by the words
+    around them (``spans.repeated_spans``), those of all batches together, as each step of that is a job of its own.
 
     Null and empty texts have no words. Rows with equal ids don't count as smaller than each other; null ids
     are neither smaller nor larger than any. Windows are compared as sequences of 64-bit word hashes.
@@ -70,26 +77,22 @@ def remove_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = scratch.bucketed(texts, "row", parts(spark), "texts")
     edges = _edges(texts, batches)
-    index, spans = FingerprintIndex(scratch, parts(spark)), []
+    nodes = scratch.save(roots(texts.filter("id is not null"), plan), "roots")
+    index, found = FingerprintIndex(scratch, parts(spark)), []
     for k in range(len(edges) + 1):
-        part = texts.filter("id is not null")
+        part = nodes
         if k:
             part = part.filter(F.col("id") > edges[k - 1])
         if k < len(edges):
             part = part.filter(F.col("id") <= edges[k])
-        batch = index._write(roots(part, plan))
-        nodes = batch
-        for old in index.history(batch):
-            nodes = nodes.unionByName(old.withColumn("fresh", F.lit(False)))
-        nodes = nodes if not index.runs else scratch.save(nodes, "nodes")
-        spans.append(repeated_spans(nodes, texts, plan, scratch, earlier=True))
-        if nodes is not batch:
-            scratch.drop(nodes)
-        index.add(batch)
-    scratch.drop(*index.runs)
-    found = spans[0]
-    for s in spans[1:]:
-        found = found.union(s)
+        found.append(index.add(part))
+    again = found[0]
+    for f in found[1:]:
+        again = again.union(f)
+    cores = scratch.save(again.groupBy("core").agg(F.min("core_low").alias("core_low")), "cores")
+    scratch.drop(*index.runs, *found)
+    found = repeated_spans(nodes, texts, plan, scratch, earlier=True, cores=cores)
+    scratch.drop(nodes)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
