@@ -1,4 +1,4 @@
-"""Exact search for long repeated runs of symbols, shared by the two substring operators.
+"""Exact search for long repeated runs of symbols, the search behind substring dedup.
 
 Every window of ``length`` symbols contains an anchor: the q-gram with the least hash in it. The choice
 depends on the window alone, so equal windows have their anchors at the same offset. Anchors whose q-gram
