@@ -100,6 +100,30 @@ def test_suffix_dedup(spark, docs):
     assert sorted(got) == sorted(want) and any(w[2] for w in want)
 
 
+def test_substring_dedup_hot_passage(spark):
+    """A passage that a third of all rows have, equal ids, null ids and texts, and clashing names; five batches."""
+    hot = [f"h{k}" for k in range(60)]
+    rows = [(i, hot + [f"{i}w{k}" for k in range(5)] if i % 3 == 0 else [f"{i}w{k}" for k in range(70)]) for i in range(5, 125)]
+    rows += [(5, hot), (7, hot[:50]), (None, hot), (200, []), (201, None)]
+    first: dict = {}
+    for i, w in rows:
+        for p in range(len(w or []) - 49):
+            if i is not None:
+                key = tuple(w[p : p + 50])
+                first[key] = min(i, first.get(key, i))
+    want = []
+    for i, w in rows:
+        gone = [False] * len(w or [])
+        for p in range(len(gone) - 49):
+            if i is not None and first[tuple(w[p : p + 50])] < i:
+                gone[p : p + 50] = [True] * 50
+        want.append((i, len(gone), sum(gone), " ".join(x for x, g in zip(w or [], gone) if not g)))
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w), 1, "x") for i, w in rows], "doc_id long, text string, core int, low string")
+    got = [tuple(r) for r in substring_dedup.remove_known(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(w[2] > 0 for w in want) > 30
+
+
 @pytest.mark.parametrize("batches", [1, 6])
 def test_substring_dedup(spark, docs, batches):
     rows = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
