@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 #: 2 MB, whatever the input. A fuller table settles less and more rows go to the join; results don't change.
 BITS = 1 << 24
 SLICES = 16
+#: Most wrong keys that each executor holds; of more, the rows are joined with them by a shuffle.
+WRONG = 1 << 20
 
 
 def bit_table(ids: DataFrame, at) -> np.ndarray:
@@ -33,11 +35,13 @@ def has_bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_may``: whether the row's key can be among ``ids``."""
-    at = F.pmod(F.xxhash64(key), F.lit(BITS))
-    shared = rows.sparkSession.sparkContext.broadcast(bit_table(ids, at))
-    out = rows.withColumn("_may", at)
+def _at(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BITS))
+
+
+def _flagged(rows: DataFrame, shared, key: str) -> DataFrame:
+    """``rows`` with ``_may``: whether the bit table has the row's key."""
+    out = rows.withColumn("_may", _at(key))
 
     def run(batches):
         import pyarrow as pa
@@ -51,12 +55,20 @@ def _flagged(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return out.mapInArrow(run, out.schema)
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ``ids`` (one column named ``key``)."""
-    return _flagged(rows, ids, key).filter("_may = 1").drop("_may").join(ids, key, "left_semi")
+def among(rows: DataFrame, ids: DataFrame, key: str, scratch) -> DataFrame:
+    """Rows whose key is in ``ids`` (one column named ``key``).
+
+    Only keys move: the few that the bit table lets through and that aren't in ``ids`` are found first, and taken away
+    where the rows are.
+    """
+    shared = scratch.share(bit_table(ids, _at(key)))
+    rows = rows.filter(F.col(key).isNotNull())
+    may = _flagged(rows, shared, key).filter("_may = 1").drop("_may")
+    wrong = scratch.save(_flagged(rows.select(key), shared, key).filter("_may = 1").select(key).distinct().join(ids, key, "left_anti"), "wrong")
+    return may.join(F.broadcast(wrong) if wrong.count() <= WRONG else wrong, key, "left_anti")
 
 
 def outside(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in ``ids``: most pass where they are, the rest through an anti-join."""
-    flagged = _flagged(rows, ids, key)
+    flagged = _flagged(rows, rows.sparkSession.sparkContext.broadcast(bit_table(ids, _at(key))), key)
     return flagged.filter("_may = 0").drop("_may").unionByName(flagged.filter("_may = 1").drop("_may").join(ids, key, "left_anti"))

@@ -14,17 +14,21 @@ from spindle.llm.scratch import Scratch
 
 #: Hashes that stand for the beginning and the end of a text.
 BOS, EOS = 0x243F6A8885A308D3, 0x13198A2E03707344
-#: Bits of the table that tells which keys can be in the model at all (16 MB); it only saves look-ups.
-SEEN_BITS = 27
+#: Bits of the table that tells which keys can be in the model at all (32 MB); it only saves look-ups.
+SEEN_BITS = 28
+#: Most words that have a number, which shortens the keys of their pairs, and texts that these words are sought in; results don't change.
+RANK_BITS, SAMPLE = 19, 8192
+CODE_BITS = 2 * RANK_BITS
 #: Words and entries of the model, the most frequent ones, that each task holds too; they only save look-ups.
 COMMON = 1 << 20
 #: Bigrams that a task of the training packs at once; bytes of text, over all documents, for each shard.
-SHARD, DEAL = 1 << 20, 24 << 20
+SHARD, DEAL = 1 << 20, 64 << 20
 #: Share of a language's held-out trusted documents above its threshold where no label tells bad documents.
 MISS = 0.003
 SLICES = 16
-#: Documents whose pairs a task holds at once (their numbers take 8 bits).
-BLOCK = 256
+#: Documents whose pairs a task holds at once (their numbers take 16 bits), and their bytes unless one alone has more.
+#: A block sends at most two pieces to each shard, so larger blocks and shards keep the pieces few.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
 
 
 def sequences(column):
@@ -49,72 +53,161 @@ def sequences(column):
         yield row, before, out, text, np.flatnonzero(pair)
 
 
-def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _blocks(batch, column: int):
+    """Slices of a batch of BLOCK rows and, by the texts in a column, BLOCK_BYTES at most; a row at least."""
+    import pyarrow.compute as pc
+
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        high = int(np.searchsorted(end, BLOCK_BYTES + (end[low - 1] if low else 0), side="right"))
+        high = min(max(high, low + 1), low + BLOCK)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+#: Keys are codes below 2**CODE_BITS of two words that have numbers, or else hashes with this bit.
+HASHED = np.uint64(1 << 63)
+_MASK, _HALF = np.uint64((1 << CODE_BITS) - 1), np.uint64(RANK_BITS)
+_ODD = [0x9E3779B97F4A7C15 & int(_MASK) | 1, 0xD6E8FEB86659FD93 & int(_MASK) | 1]
+
+
+def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for two numbers of words, spread over all CODE_BITS; ``_decode`` undoes it."""
+    c = (a.astype(np.uint64) << _HALF) | b.astype(np.uint64)
+    for odd in _ODD:
+        c ^= c >> _HALF
+        c = (c * np.uint64(odd)) & _MASK
+    return c ^ (c >> _HALF)
+
+
+def _decode(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = c ^ (c >> _HALF)
+    for odd in _ODD[::-1]:
+        c = (c * np.uint64(pow(odd, -1, 1 << CODE_BITS))) & _MASK
+        c ^= c >> _HALF
+    return (c >> _HALF).astype(np.int64), (c & ((np.uint64(1) << _HALF) - np.uint64(1))).astype(np.int64)
+
+
+def _pair_key(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of pairs of words: by their numbers ``a`` and ``b`` if both have one, else by their hashes."""
     from spindle.llm.kernel import mix
 
-    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+    key = mix(first * np.uint64(0x9E3779B97F4A7C15) + second) | HASHED
+    both = np.flatnonzero((a >= 0) & (b >= 0))
+    key[both] = _code(a[both], b[both])
+    return key
 
 
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(shards)
+    """By ranges of codes and of hashes, so that sorted keys of one kind have sorted shards and small differences."""
+    n = np.uint64(shards)
+    return np.where(keys < HASHED, (keys * n) >> np.uint64(CODE_BITS), (((keys ^ HASHED) >> np.uint64(32)) * n) >> np.uint64(31))
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
-    """The two bits of each key in the table of possible keys."""
-    return [((keys * np.uint64(m)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64) for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+def _places(keys: np.ndarray) -> np.ndarray:
+    """The bit of each key in the table of possible keys: one, as a table that fills up still tells some apart."""
+    return ((keys * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
 
 
 def _possible(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for at in _places(keys):
-        out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-    return out
+    at = _places(keys)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _press(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, packed as entropy has it: the shuffle's own compression only finds repeats."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    return len(x).to_bytes(4, "little") + (pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True) if len(x) else b"")
+
+
+def _unpress(data, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    data, size = memoryview(data), np.dtype(kind).itemsize
+    n = int.from_bytes(data[:4], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[4:], n * size), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, stored by byte planes, which the shuffle's compression shrinks."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys as differences."""
+    return _press(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack(data) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+    return np.cumsum(_unpress(data, np.uint64), dtype=np.uint64)
 
 
-def _split(keys: np.ndarray, shards: int, *more: np.ndarray, by: np.ndarray | None = None):
-    """Yields (shard, sorted keys, the others in the same order); shards are dealt by ``by`` or else the keys."""
-    shard = _shards(keys if by is None else by, shards)
-    order = np.lexsort((keys, shard))
-    shard, keys, more = shard[order], keys[order], [m[order] for m in more]
-    edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+def _split(keys: np.ndarray, shards: int, *more: np.ndarray):
+    """Yields (shard, sorted keys, the others in the same order) of codes and of hashes."""
+    order = np.argsort(keys)
+    keys, more = keys[order], [m[order] for m in more]
+    shard = _shards(keys, shards)
+    edge = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | ((keys[1:] ^ keys[:-1]) >= HASHED))) if len(shard) else []
     for a, b in zip(edge, [*edge[1:], len(shard)]):
         yield int(shard[a]), keys[a:b], [m[a:b] for m in more]
 
 
-def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, with the sum of their counts."""
-    if not len(a):
-        return a, b, np.zeros(0, np.int64)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    n = np.diff(np.append(edge, len(a))) if n is None else np.add.reduceat(n[order], edge)
-    return a[edge], b[edge], n
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the sum of their counts."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    n = np.diff(np.append(edge, len(keys))) if n is None else np.add.reduceat(n[order], edge)
+    return keys[edge], order[edge], n
 
 
-class _Held:
-    """A number for each of some words, by word or array of words; ``other`` for all others."""
+class _Index:
+    """Places of keys in an array, by tables of slots: of random keys that takes a fraction of a binary search.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, other: float):
-        self.keys, self.values, self.other = keys, values, other
+    A slot has a place + 1, negative if other keys of the slot are in the next table.
+    """
 
-    def __getitem__(self, h):
-        h = np.asarray(h, np.uint64)
-        if not len(self.keys):
-            return np.full(h.shape, self.other)[()]
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.values[at], self.other)[()]
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.levels = keys, None
+
+    def __getstate__(self):
+        return self.keys
+
+    def __setstate__(self, keys):
+        self.keys, self.levels = keys, None
+
+    def _build(self) -> None:
+        self.levels, left = [], np.arange(len(self.keys))
+        while len(left):
+            bits, odd = max(4, len(left).bit_length() + 1), np.uint64(pow(0x9E3779B97F4A7C15, 2 * len(self.levels) + 1, 1 << 64))
+            slot = ((self.keys[left] * odd) >> np.uint64(64 - bits)).astype(np.int64)
+            slots = np.zeros(1 << bits, np.int32)
+            slots[slot] = left + 1
+            have = slots[slot] - 1
+            lost = np.flatnonzero((have != left) & (self.keys[have] != self.keys[left]))
+            slots[np.unique(slot[lost])] *= -1
+            self.levels.append((slots, odd, np.uint64(64 - bits)))
+            left = left[lost]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each, -1 if there is none."""
+        out = np.full(len(h), -1, np.int64)
+        if self.levels is None:
+            self._build()
+        todo = slice(None)
+        for slots, odd, shift in self.levels:
+            at = slots[((h * odd) >> shift).astype(np.int64)]
+            place = np.abs(at) - 1
+            hit = self.keys[place] == h
+            out[todo] = np.where(hit, place, -1)
+            more = np.flatnonzero(~hit & (at < 0))
+            if not len(more):
+                break
+            todo, h = more if isinstance(todo, slice) else todo[more], h[more]
+        return out
 
 
 def _discounts(counts) -> np.ndarray:
@@ -126,26 +219,27 @@ def _discounts(counts) -> np.ndarray:
 
 
 class Tables:
-    """Discounts, the score of an unknown word, and what each task holds of the common words and entries."""
+    """Numbers of words, discounts, the score of an unknown word, and what each task holds of the common words and entries."""
 
-    def __init__(self, counts):
+    def __init__(self, known: np.ndarray):
+        self.known = _Index(known)
+
+    def discounts(self, counts) -> None:
         self.discount = _discounts(counts)
 
     def hold_words(self, t, unknown: float) -> None:
-        keys, total, back, lower = (t.column(i).to_numpy() for i in range(4))
-        keys = keys.view(np.uint64)
-        order = np.argsort(keys)
-        keys, self.unknown = keys[order], unknown
-        # float32 holds their logarithms well enough, and three tables share their keys
-        self.total, self.back, self.lower = (_Held(keys, v[order].astype(np.float32), np.nan) for v in (total, back, lower))
+        keys, *values = (t.column(i).to_numpy() for i in range(4))
+        self.words, self.unknown = _Index(keys.view(np.uint64)), unknown
+        # float32 holds their logarithms well enough; the last place is that of other words
+        self.total, self.back, self.lower = (np.append(v, np.nan).astype(np.float32) for v in values)
 
     def drop_words(self) -> None:
-        self.total = self.back = self.lower = None
+        self.words = self.total = self.back = self.lower = None
 
     def hold_entries(self, t) -> None:
-        keys, value = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
-        order = np.argsort(keys)
-        self.entries = _Held(keys[order], value[order], np.nan)
+        self.entries, self.values = _Index(t.column(0).to_numpy().view(np.uint64)), np.append(t.column(1).to_numpy(), np.float32(np.nan))
+        #: by the words' numbers, the last of words that have none
+        self.of_words = np.append(self.values[self.entries.find(self.known.keys | HASHED)], np.float32(np.nan))
 
 
 def _common(rows: DataFrame, n: str, most: int) -> DataFrame:
@@ -168,33 +262,58 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     log of its back-off mass; of each pair's key, what its own count adds to both. All grow with the text.
     """
 
+    def tally(batches):
+        import pyarrow as pa
+
+        for batch in (x for b in batches for x in _blocks(b, 0)):
+            k, _, n = _summed(np.concatenate([np.zeros(0, np.uint64)] + [h for _, _, h, _, _ in sequences(batch.column(0))]))
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["w", "n"])
+        tidy()
+
+    some = texts.sample(min(1.0, SAMPLE / max(1, texts.count())), 1).select(F.substring("text", 1, 1 << 14).alias("text"))
+    some = scratch.save(some.mapInArrow(tally, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "known")
+    tables = Tables(_common(some, "n", 1 << RANK_BITS).select("w").toArrow().combine_chunks().column(0).to_numpy().view(np.uint64))
+    scratch.drop(some)
+    shared = scratch.share(tables)
+
     def count(batches):
         import pyarrow as pa
 
-        for batch in (b.slice(low, BLOCK) for b in batches for low in range(0, b.num_rows, BLOCK)):
-            first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        known = shared.value.known
+        for batch in (x for b in batches for x in _blocks(b, 0)):
+            parts = [[np.zeros(0, np.uint64)] * 3]
             for _, _, h, _, at in sequences(batch.column(0)):
-                first.append(h[at])
-                second.append(h[at + 1])
-            a, b, n = _summed(np.concatenate(first), np.concatenate(second))
-            found = list(_split(a, shards, b, n.astype(np.uint32), by=_pair_key(a, b)))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int64()), pa.array([_pack(k) for _, k, _ in found], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found], pa.binary()), pa.array([m[1].tobytes() for _, _, m in found], pa.binary())], names=["shard", "a", "b", "n"])
+                r = known.find(h)
+                parts.append([_pair_key(h[at], h[at + 1], r[at], r[at + 1]), h[at], h[at + 1]])
+            keys, a, b = (np.concatenate(x) for x in zip(*parts))
+            keys, at, n = _summed(keys)
+            found = [(s, k, *(m if k[0] >= HASHED else (m[0][:0], m[1][:0], m[2]))) for s, k, m in _split(keys, shards, a[at], b[at], n.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), *(pa.array(x, pa.binary()) for x in ([_pack(f[1]) for f in found], [f[2].tobytes() for f in found], [f[3].tobytes() for f in found], [_press(f[4]) for f in found]))], names=["shard", "keys", "a", "b", "n"])
         tidy()
 
     def total(key, table):
         import pyarrow as pa
 
-        a = np.concatenate([_unpack(x.as_buffer()) for x in table.column("a")])
-        b, n = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("b", np.uint64), ("n", np.uint32)))
-        a, b, n = _summed(a, b, n.astype(np.int64))
+        known, out = shared.value.known.keys, []
+        keys, n = np.concatenate([_unpack(x.as_buffer()) for x in table.column("keys")]), np.concatenate([_unpress(x.as_buffer(), np.uint32) for x in table.column("n")])
+        a, b = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(c)]) for c in ("a", "b"))
+        hashed = keys >= HASHED
+        k, _, m = _summed(keys[~hashed], n[~hashed].astype(np.int64))
+        first, second = _decode(k)
+        out.append([known[first], known[second], m])
+        _, at, m = _summed(keys[hashed], n[hashed].astype(np.int64))
+        out.append([a[at], b[at], m])
+        a, b, n = (np.concatenate(x) for x in zip(*out))
+        tidy()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "n": n})
 
-    pairs = scratch.save(texts.mapInArrow(count, "shard long, a binary, b binary, n binary").groupBy("shard").applyInArrow(total, "a long, b long, n long"), "pairs")
-    tables = Tables(pairs.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first())
+    pairs = scratch.save(texts.mapInArrow(count, "shard long, keys binary, a binary, b binary, n binary").groupBy("shard").applyInArrow(total, "a long, b long, n long"), "pairs", small=True)
+    scratch.unshare()
+    tables.discounts(pairs.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first())
     none = F.lit(0).cast("long")
     sides = pairs.select(F.col("a").alias("w"), "n", none.alias("before")).unionByName(pairs.select(F.col("b").alias("w"), none.alias("n"), F.lit(1).cast("long").alias("before")))
-    tally = lambda when: F.sum(F.when(when, 1).otherwise(0))
-    stats = scratch.save(sides.groupBy("w").agg(F.sum("n").alias("total"), F.sum("before").alias("continuation"), tally(F.col("n") == 1).alias("ones"), tally(F.col("n") == 2).alias("twos"), tally(F.col("n") >= 3).alias("more")), "words")
+    seen_as = lambda when: F.sum(F.when(when, 1).otherwise(0))
+    stats = scratch.save(sides.groupBy("w").agg(F.sum("n").alias("total"), F.sum("before").alias("continuation"), seen_as(F.col("n") == 1).alias("ones"), seen_as(F.col("n") == 2).alias("twos"), seen_as(F.col("n") >= 3).alias("more")), "words")
     scratch.release()
     c = F.col("continuation")
     known, all_, *kinds = (x or 0 for x in stats.agg(F.count(F.lit(1)), F.sum(c), *[F.count(F.when(c == k, 1)) for k in (1, 2, 3, 4)], F.count(F.when(c >= 3, 1))).first())
@@ -213,8 +332,9 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
         tab = shared.value
         for batch in batches:
             a, b = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
-            more = [t[x].astype(np.float64) for t, x in ((tab.total, a), (tab.back, a), (tab.lower, b))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_pair_key(a, b).view(np.int64)), *(pa.array(x, mask=np.isnan(x)) for x in more)], names=["a", "b", "n", "key", "total", "back", "lower"])
+            first, second = tab.words.find(a), tab.words.find(b)
+            more = [x.astype(np.float64) for x in (tab.total[first], tab.back[first], tab.lower[second])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_pair_key(a, b, tab.known.find(a), tab.known.find(b)).view(np.int64)), *(pa.array(x, mask=np.isnan(x)) for x in more)], names=["a", "b", "n", "key", "total", "back", "lower"])
         tidy()
 
     # words that each task holds are settled where the pair is, so only rare ones are joined by their hash
@@ -227,9 +347,9 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
 
     own = F.greatest(F.col("n") - F.when(F.col("n") >= 3, d[3]).when(F.col("n") == 2, d[2]).otherwise(d[1]), F.lit(0.0)) / F.col("total")
     of_pairs = filled.select("key", (F.log(own + F.col("back") * F.col("lower")) - F.log("back") - F.log("lower")).cast("float").alias("value"), "n")
-    of_words = words.select(F.col("w").alias("key"), (F.log("lower") - F.log(F.lit(tables.unknown)) + F.log("back")).cast("float").alias("value"), "n")
+    of_words = words.select(F.col("w").bitwiseOR(F.lit(-(1 << 63))).alias("key"), (F.log("lower") - F.log(F.lit(tables.unknown)) + F.log("back")).cast("float").alias("value"), "n")
     entries = of_pairs.unionByName(of_words)
-    entries = scratch.save(entries, "entries")
+    entries = scratch.save(entries, "entries", small=True)
     del sides, words, filled, rare, of_pairs, of_words
     scratch.drop(pairs, stats)
     scratch.unshare()
@@ -242,7 +362,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
         def out():
             keys, values = (np.concatenate([h[k] for h in have]) for k in range(2))
             found = list(_split(keys.view(np.uint64), shards, values))
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int64()), pa.array([_pack(k) for _, k, _ in found], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found], pa.binary())], names=["shard", "keys", "values"])
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], pa.int64()), pa.array([_pack(k) for _, k, _ in found], pa.binary()), pa.array([_press(m[0]) for _, _, m in found], pa.binary())], names=["shard", "keys", "values"])
 
         have, n = [], 0
         for batch in batches:
@@ -259,8 +379,8 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
 
         bits = np.zeros((1 << SEEN_BITS) // 8, np.uint8)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy().view(np.uint64)):
-                np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+            at = _places(batch.column(0).to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         bits = bits.reshape(SLICES, -1)
         some = [i for i in range(SLICES) if bits[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([bits[i].tobytes() for i in some], pa.binary())], names=["slice", "bits"])
@@ -273,7 +393,7 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
 
     size = entries.count()
     seen = np.zeros((SLICES, (1 << SEEN_BITS) // 8 // SLICES), np.uint8)
-    if size > 1 << (SEEN_BITS - 2):  # so full a table would save next to nothing
+    if size > 1 << (SEEN_BITS + 1):  # so full a table would save next to nothing
         return entries.select("key", "value").mapInArrow(packed, "shard long, keys binary, values binary"), tables, seen.reshape(-1) | np.uint8(255)
     few = entries.select("key").coalesce(1 + size // (4 * SHARD))  # 8 tasks at most, each of which sends the whole table
     for r in few.mapInArrow(marks, "slice long, bits binary").groupBy("slice").applyInArrow(join_marks, "slice long, bits binary").collect():  # SLICES rows, 16 MB in all
@@ -288,7 +408,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
     packed, with the document's number in its block; a shard joins them with its entries and returns sums by
     document, which the block adds up. Documents are read once and carry their columns; texts aren't shuffled.
     """
-    shared = scratch.share((tables.entries, math.log(tables.unknown), seen))
+    shared = scratch.share((tables, math.log(tables.unknown), seen))
     kinds = [docs.schema[c].dataType.simpleString() for c in columns]
     lists = "".join(f", c{i} array<{k}>" for i, k in enumerate(kinds))
     names = [f"c{i}" for i in range(len(columns))]
@@ -296,33 +416,34 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
     def ask(batches):
         import pyarrow as pa
 
-        common, unknown, bits = shared.value
+        tab, unknown, bits = shared.value
         for batch in batches:
-            for low in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(low, BLOCK)
+            for part in _blocks(batch, 1):
                 number = part.column(0)[0].as_py()
                 sums, sizes = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
-                keys, docs_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+                keys, docs_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
                 for row, before, h, text, pair in sequences(part.column(1)):
                     n = len(before) - 1
                     sizes[row : row + n] = np.diff(before)
-                    may = _possible(bits, h)
-                    both = pair[may[pair] & may[pair + 1]]
-                    p = _pair_key(h[both], h[both + 1])
-                    in_model = _possible(bits, p)
-                    k = np.concatenate([h[may], p[in_model]])
-                    who = np.concatenate([text[may], text[both][in_model]])
-                    value = common[k]
+                    rank = tab.known.find(h)
+                    value, rare = tab.of_words[rank], np.flatnonzero(rank < 0)
+                    value[rare] = tab.values[tab.entries.find(h[rare] | HASHED)]
+                    p = _pair_key(h[pair], h[pair + 1], rank[pair], rank[pair + 1])
+                    k = np.concatenate([h | HASHED, p])
+                    who = np.concatenate([text, text[pair]])
+                    value = np.concatenate([value, tab.values[tab.entries.find(p)]])
                     far = np.isnan(value)
                     events = np.diff(before) + (np.diff(before) > 0)
                     sums[row : row + n] = np.bincount(who[~far], value[~far], n) + unknown * events
-                    keys.append(k[far])
-                    docs_at.append((who[far] + row).astype(np.uint8))
+                    k, who = k[far], who[far]
+                    may = _possible(bits, k)
+                    keys.append(k[may])
+                    docs_at.append((who[may] + row).astype(np.uint16))
                 found = list(_split(np.concatenate(keys), shards, np.concatenate(docs_at)))
                 n = len(found)
                 own = [pa.array([None] * n + [c.to_pylist()], pa.list_(c.type)) for c in part.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s for s, _, _ in found] + [-1 - (number // BLOCK + (number >> 33)) % shards], pa.int64()), pa.array([number] * (n + 1), pa.int64()), pa.array([_pack(k) for _, k, _ in found] + [sums.tobytes()], pa.binary()), pa.array([m[0].tobytes() for _, _, m in found] + [sizes.tobytes()], pa.binary()), *own],
+                    [pa.array([s for s, _, _ in found] + [-1 - (number * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) % shards], pa.int64()), pa.array([number] * (n + 1), pa.int64()), pa.array([_pack(k) for _, k, _ in found] + [sums.tobytes()], pa.binary()), pa.array([_press(m[0]) for _, _, m in found] + [sizes.tobytes()], pa.binary()), *own],
                     names=["shard", "block", "keys", "docs", *names],
                 )
         tidy()
@@ -337,17 +458,19 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
         for i, b in enumerate(block):
             if b is None:
                 held.append(_unpack(table.column("keys")[i].as_buffer()))
-                value.append(np.frombuffer(table.column("docs")[i].as_buffer(), np.float32))
+                value.append(_unpress(table.column("docs")[i].as_buffer(), np.float32))
         held, value = np.concatenate(held), np.concatenate(value)
         order = np.argsort(held, kind="stable")
-        held = _Held(held[order], value[order], 0.0)
+        held, value = np.append(held[order], np.uint64(2**64 - 1)), np.append(value[order], 0.0)  # an end that nothing passes
         for i, b in enumerate(block):
             if b is None:
                 continue
-            k, d = _unpack(table.column("keys")[i].as_buffer()), np.frombuffer(table.column("docs")[i].as_buffer(), np.uint8)
-            sums = np.bincount(d, held[k], BLOCK)
+            k, d = _unpack(table.column("keys")[i].as_buffer()), _unpress(table.column("docs")[i].as_buffer(), np.uint16)
+            at = np.searchsorted(held, k)
+            hit = held[at] == k
+            sums = np.bincount(d[hit], value[at[hit]])
             who = np.flatnonzero(sums)
-            out.append({"block": b, "docs": who.astype(np.uint8).tobytes(), "sums": sums[who].astype(np.float32).tobytes()})
+            out.append({"block": b, "docs": who.astype(np.uint16).tobytes(), "sums": sums[who].astype(np.float32).tobytes()})
         tidy()
         mine = pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("local", pa.binary())]))
         for c in names:
@@ -363,7 +486,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
         # in a fixed order, so that reruns round alike
         parts = sorted((table.column("docs")[i].as_py(), table.column("sums")[i].as_py()) for i in range(table.num_rows) if i != whole)
         for d, s in parts:
-            np.add.at(sums, np.frombuffer(d, np.uint8), np.frombuffer(s, np.float32))
+            np.add.at(sums, np.frombuffer(d, np.uint16), np.frombuffer(s, np.float32))
         return pa.table({**{c: table.column(c)[whole].values for c in names}, "n_words": pa.array(sizes), "logp": pa.array(sums)})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), text_col, *[F.col(c).alias(n) for c, n in zip(columns, names)])
@@ -424,7 +547,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     trusted = scratch.save(trusted.select("_id", F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("_fold")), "trusted")
     teach = trusted.filter("_fold = 0").select("_id")
     low = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_q")).filter("_q = 0")
-    texts = among(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("_id is not null"), teach, "_id")
+    texts = among(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("_id is not null"), teach, "_id", scratch)
     size = scratch.save(texts.select("text"), "texts")
     shards = max(SLICES, -(-int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // DEAL))
     model, tables, seen = _trained(size, shards, scratch)

@@ -360,6 +360,59 @@ def test_perplexity_keeps_pairs_seen_once(spark):
     assert score[0] < score[1]
 
 
+def test_perplexity_sends_few_small_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(2000)]
+    teach = spark.createDataFrame([(t,) for t in texts], "text string")
+    monkeypatch.setattr(perplexity, "COMMON", 0)  # so all keys are sent
+    ran, plain = [], type(teach).mapInArrow
+    monkeypatch.setattr(type(teach), "mapInArrow", lambda self, f, *a, **k: (ran.append(f), plain(self, f, *a, **k))[1])
+    scratch, shards = perplexity.Scratch(spark, "t"), 16
+    model, tables, seen = perplexity._trained(teach, shards, scratch)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    perplexity.perplexities(rows, model, tables, seen, shards, ["doc_id"], "text", scratch)
+    batch = pa.RecordBatch.from_pydict({"row": list(range(2000)), "text": texts, "c0": list(range(2000))})
+    sent = [r for b in ran[-1](iter([batch])) for r in b.to_pylist() if r["shard"] >= 0]
+    assert 0 < len(sent) <= 2 * shards
+    assert sum(len(r["keys"]) + len(r["docs"]) for r in sent) < 6 * 2000 * (62 + 61)
+
+
+def test_pair_codes_undo():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << perplexity.RANK_BITS, (2, 5000))
+    code = perplexity._code(a, b)
+    assert code.max() < 1 << perplexity.CODE_BITS and np.bincount(perplexity._shards(code, 10).astype(int)).min() > 400
+    assert all((x == y).all() for x, y in zip(perplexity._decode(code), (a, b)))
+
+
+def test_perplexity_is_the_same_with_few_numbered_words(spark, docs, monkeypatch):
+    taught = [r["text"] for r in docs.collect() if r["text"]]
+    want = _scores(spark, taught[::2], taught)
+    common = perplexity._common
+    monkeypatch.setattr(perplexity, "_common", lambda rows, n, most: common(rows, n, 8 if most == 1 << perplexity.RANK_BITS else 0))
+    assert _scores(spark, taught[::2], taught, shards=5) == pytest.approx(want)
+
+
+def test_among_moves_no_rows(spark, monkeypatch):
+    from spindle.llm import bits
+
+    rows = spark.createDataFrame([(i % 400 if i % 7 else None, f"t{i}") for i in range(1000)], "k long, text string")
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 600, 3), 3]], "k long")
+    want = sorted(r["text"] for r in rows.collect() if r["k"] is not None and r["k"] % 3 == 0)
+    monkeypatch.setattr(bits, "BITS", 1 << 9)  # lets many wrong keys through
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(bits, "WRONG", most)
+            out = bits.among(rows, ids, "k", perplexity.Scratch(spark, "t"))
+            moved = "Exchange hashpartitioning" in out._jdf.queryExecution().executedPlan().toString()
+            assert moved == (most == 0) and sorted(r["text"] for r in out.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_quality_rules_threshold_covers_all_held_out_rows(spark):
     rng = random.Random(5)
     docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 3) for _ in range(80))) for i in range(200)], "doc_id long, text string")
