@@ -340,18 +340,19 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     # words that each task holds are settled where the pair is, so only rare ones are joined by their hash
     names = ["a", "b", "n", "key", "total", "back", "lower"]
     filled = pairs.mapInArrow(fill, "a long, b long, n long, key long, total double, back double, lower double")
-    rare = filled.filter("total is null").select("a", "b", "n", "key", "lower").join(words.select(F.col("w").alias("a"), F.col("total").cast("double").alias("total"), "back"), "a").select(*names)
-    filled = filled.filter("total is not null").unionByName(rare)
-    rare = filled.filter("lower is null").drop("lower").join(words.select(F.col("w").alias("b"), "lower"), "b").select(*names)
-    filled = filled.filter("lower is not null").unionByName(rare)
+    part = scratch.save(filled.filter("total is null or lower is null"), "rare", small=True)
+    rare = part.filter("total is null").select("a", "b", "n", "key", "lower").join(words.select(F.col("w").alias("a"), F.col("total").cast("double").alias("total"), "back"), "a").select(*names)
+    both = part.filter("total is not null").unionByName(rare)
+    rare = both.filter("lower is null").drop("lower").join(words.select(F.col("w").alias("b"), "lower"), "b").select(*names)
+    filled = filled.filter("total is not null and lower is not null").unionByName(both.filter("lower is not null")).unionByName(rare)
 
     own = F.greatest(F.col("n") - F.when(F.col("n") >= 3, d[3]).when(F.col("n") == 2, d[2]).otherwise(d[1]), F.lit(0.0)) / F.col("total")
     of_pairs = filled.select("key", (F.log(own + F.col("back") * F.col("lower")) - F.log("back") - F.log("lower")).cast("float").alias("value"), "n")
     of_words = words.select(F.col("w").bitwiseOR(F.lit(-(1 << 63))).alias("key"), (F.log("lower") - F.log(F.lit(tables.unknown)) + F.log("back")).cast("float").alias("value"), "n")
     entries = of_pairs.unionByName(of_words)
     entries = scratch.save(entries, "entries", small=True)
-    del sides, words, filled, rare, of_pairs, of_words
-    scratch.drop(pairs, stats)
+    del sides, words, filled, both, rare, of_pairs, of_words
+    scratch.drop(pairs, stats, part)
     scratch.unshare()
     tables.drop_words()
     tables.hold_entries(_common(entries, "n", COMMON).select("key", "value").toArrow().combine_chunks())
