@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindle.llm.bits import among
 from spindle.llm.kernel import tidy
-from spindle.llm.scratch import Scratch
+from spindle.llm.scratch import Scratch, parts
 
 #: Hashes that stand for the beginning and the end of a text.
 BOS, EOS = 0x243F6A8885A308D3, 0x13198A2E03707344
@@ -89,11 +89,15 @@ def _decode(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (c >> _HALF).astype(np.int64), (c & ((np.uint64(1) << _HALF) - np.uint64(1))).astype(np.int64)
 
 
-def _pair_key(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of pairs of words: by their numbers ``a`` and ``b`` if both have one, else by their hashes."""
+def _hashed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     from spindle.llm.kernel import mix
 
-    key = mix(first * np.uint64(0x9E3779B97F4A7C15) + second) | HASHED
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second) | HASHED
+
+
+def _pair_key(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of pairs of words: by their numbers ``a`` and ``b`` if both have one, else by their hashes."""
+    key = _hashed(first, second)
     both = np.flatnonzero((a >= 0) & (b >= 0))
     key[both] = _code(a[both], b[both])
     return key
@@ -134,6 +138,10 @@ def _unpress(data, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _plain(data) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted keys as differences."""
     return _press(np.diff(keys, prepend=np.uint64(0)))
@@ -174,10 +182,10 @@ class _Index:
         self.keys, self.levels = keys, None
 
     def __getstate__(self):
-        return self.keys
+        return _pack(self.keys)
 
-    def __setstate__(self, keys):
-        self.keys, self.levels = keys, None
+    def __setstate__(self, state):
+        self.keys, self.levels = _unpack(state), None
 
     def _build(self) -> None:
         self.levels, left = [], np.arange(len(self.keys))
@@ -218,16 +226,46 @@ def _discounts(counts) -> np.ndarray:
     return np.array([0.0, rate(1, n1, n2), rate(2, n2, n3), rate(3, n3, n4)])
 
 
+def _sorted(t):
+    """An Arrow table by its first column, as unsigned numbers."""
+    return t.take(np.argsort(t.column(0).to_numpy().view(np.uint64))).combine_chunks()
+
+
+class _Bits:
+    """A table of bits that is packed while it moves."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __getstate__(self):
+        return _press(self.bits)
+
+    def __setstate__(self, state):
+        self.bits = _unpress(state, np.uint8)
+
+
 class Tables:
-    """Numbers of words, discounts, the score of an unknown word, and what each task holds of the common words and entries."""
+    """Numbers of words, discounts, the score of an unknown word, and what each task holds of the common words and entries.
+
+    Broadcasts are packed: the driver and each executor keep a copy on disk. Sorted keys pack best.
+    """
 
     def __init__(self, known: np.ndarray):
-        self.known = _Index(known)
+        self.known = _Index(np.sort(known))
+
+    def __getstate__(self):
+        return {k: (v.dtype.str, _press(v)) if isinstance(v, np.ndarray) else v for k, v in vars(self).items() if k != "of_words"}
+
+    def __setstate__(self, state):
+        vars(self).update({k: _unpress(v[1], v[0]) if isinstance(v, tuple) else v for k, v in state.items()})
+        if "entries" in state:
+            self._hold_of_words()
 
     def discounts(self, counts) -> None:
         self.discount = _discounts(counts)
 
     def hold_words(self, t, unknown: float) -> None:
+        t = _sorted(t)
         keys, *values = (t.column(i).to_numpy() for i in range(4))
         self.words, self.unknown = _Index(keys.view(np.uint64)), unknown
         # float32 holds their logarithms well enough; the last place is that of other words
@@ -237,7 +275,11 @@ class Tables:
         self.words = self.total = self.back = self.lower = None
 
     def hold_entries(self, t) -> None:
+        t = _sorted(t)
         self.entries, self.values = _Index(t.column(0).to_numpy().view(np.uint64)), np.append(t.column(1).to_numpy(), np.float32(np.nan))
+        self._hold_of_words()
+
+    def _hold_of_words(self) -> None:
         #: by the words' numbers, the last of words that have none
         self.of_words = np.append(self.values[self.entries.find(self.known.keys | HASHED)], np.float32(np.nan))
 
@@ -287,7 +329,8 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
                 parts.append([_pair_key(h[at], h[at + 1], r[at], r[at + 1]), h[at], h[at + 1]])
             keys, a, b = (np.concatenate(x) for x in zip(*parts))
             keys, at, n = _summed(keys)
-            found = [(s, k, *(m if k[0] >= HASHED else (m[0][:0], m[1][:0], m[2]))) for s, k, m in _split(keys, shards, a[at], b[at], n.astype(np.uint32))]
+            # a hash is that of its words, which are sent instead
+            found = [(s, *((k[:0], *m) if k[0] >= HASHED else (k, m[0][:0], m[1][:0], m[2]))) for s, k, m in _split(keys, shards, a[at], b[at], n.astype(np.uint32))]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), *(pa.array(x, pa.binary()) for x in ([_pack(f[1]) for f in found], [f[2].tobytes() for f in found], [f[3].tobytes() for f in found], [_press(f[4]) for f in found]))], names=["shard", "keys", "a", "b", "n"])
         tidy()
 
@@ -295,19 +338,21 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
         import pyarrow as pa
 
         known, out = shared.value.known.keys, []
-        keys, n = np.concatenate([_unpack(x.as_buffer()) for x in table.column("keys")]), np.concatenate([_unpress(x.as_buffer(), np.uint32) for x in table.column("n")])
-        a, b = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(c)]) for c in ("a", "b"))
-        hashed = keys >= HASHED
-        k, _, m = _summed(keys[~hashed], n[~hashed].astype(np.int64))
+        keys, a, b = (np.concatenate([f(x.as_buffer()) for x in table.column(c)]) for c, f in (("keys", _unpack), ("a", _plain), ("b", _plain)))
+        n = [_unpress(x.as_buffer(), np.uint32).astype(np.int64) for x in table.column("n")]
+        hashed = [len(x.as_buffer()) > 0 for x in table.column("a")]
+        of = lambda kind: np.concatenate([np.zeros(0, np.int64), *(x for x, h in zip(n, hashed) if h == kind)])
+        k, _, m = _summed(keys, of(False))
         first, second = _decode(k)
         out.append([known[first], known[second], m])
-        _, at, m = _summed(keys[hashed], n[hashed].astype(np.int64))
+        _, at, m = _summed(_hashed(a, b), of(True))
         out.append([a[at], b[at], m])
         a, b, n = (np.concatenate(x) for x in zip(*out))
         tidy()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "n": n})
 
     pairs = scratch.save(texts.mapInArrow(count, "shard long, keys binary, a binary, b binary, n binary").groupBy("shard").applyInArrow(total, "a long, b long, n long"), "pairs", small=True)
+    scratch.drop(texts)
     scratch.unshare()
     tables.discounts(pairs.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)]).first())
     none = F.lit(0).cast("long")
@@ -341,18 +386,20 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
     names = ["a", "b", "n", "key", "total", "back", "lower"]
     filled = pairs.mapInArrow(fill, "a long, b long, n long, key long, total double, back double, lower double")
     part = scratch.save(filled.filter("total is null or lower is null"), "rare", small=True)
+    own = F.greatest(F.col("n") - F.when(F.col("n") >= 3, d[3]).when(F.col("n") == 2, d[2]).otherwise(d[1]), F.lit(0.0)) / F.col("total")
+    of_pairs = lambda rows: rows.select("key", (F.log(own + F.col("back") * F.col("lower")) - F.log("back") - F.log("lower")).cast("float").alias("value"), "n")
+    # the settled ones first, so that pairs are gone before the rare ones move
+    settled = scratch.save(of_pairs(filled.filter("total is not null and lower is not null")), "settled", small=True)
+    del sides, filled
+    scratch.drop(pairs)
     rare = part.filter("total is null").select("a", "b", "n", "key", "lower").join(words.select(F.col("w").alias("a"), F.col("total").cast("double").alias("total"), "back"), "a").select(*names)
     both = part.filter("total is not null").unionByName(rare)
     rare = both.filter("lower is null").drop("lower").join(words.select(F.col("w").alias("b"), "lower"), "b").select(*names)
-    filled = filled.filter("total is not null and lower is not null").unionByName(both.filter("lower is not null")).unionByName(rare)
-
-    own = F.greatest(F.col("n") - F.when(F.col("n") >= 3, d[3]).when(F.col("n") == 2, d[2]).otherwise(d[1]), F.lit(0.0)) / F.col("total")
-    of_pairs = filled.select("key", (F.log(own + F.col("back") * F.col("lower")) - F.log("back") - F.log("lower")).cast("float").alias("value"), "n")
     of_words = words.select(F.col("w").bitwiseOR(F.lit(-(1 << 63))).alias("key"), (F.log("lower") - F.log(F.lit(tables.unknown)) + F.log("back")).cast("float").alias("value"), "n")
-    entries = of_pairs.unionByName(of_words)
-    entries = scratch.save(entries, "entries", small=True)
-    del sides, words, filled, both, rare, of_pairs, of_words
-    scratch.drop(pairs, stats, part)
+    others = scratch.save(of_pairs(both.filter("lower is not null").unionByName(rare)).unionByName(of_words), "others", small=True)
+    entries = settled.unionByName(others)
+    del words, both, rare, of_words
+    scratch.drop(part, stats)
     scratch.unshare()
     tables.drop_words()
     tables.hold_entries(_common(entries, "n", COMMON).select("key", "value").toArrow().combine_chunks())
@@ -384,22 +431,27 @@ def _trained(texts: DataFrame, shards: int, scratch: Scratch) -> tuple[DataFrame
             np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
         bits = bits.reshape(SLICES, -1)
         some = [i for i in range(SLICES) if bits[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([bits[i].tobytes() for i in some], pa.binary())], names=["slice", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([_press(bits[i]) for i in some], pa.binary())], names=["slice", "bits"])
 
     def join_marks(key, table):
         import pyarrow as pa
 
-        x = np.bitwise_or.reduce([np.frombuffer(k.as_buffer(), np.uint8) for k in table.column("bits")])
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([x.tobytes()], pa.binary())})
+        x = np.bitwise_or.reduce([_unpress(k.as_buffer(), np.uint8) for k in table.column("bits")])
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([_press(x)], pa.binary())})
 
     size = entries.count()
     seen = np.zeros((SLICES, (1 << SEEN_BITS) // 8 // SLICES), np.uint8)
     if size > 1 << (SEEN_BITS + 1):  # so full a table would save next to nothing
-        return entries.select("key", "value").mapInArrow(packed, "shard long, keys binary, values binary"), tables, seen.reshape(-1) | np.uint8(255)
-    few = entries.select("key").coalesce(1 + size // (4 * SHARD))  # 8 tasks at most, each of which sends the whole table
-    for r in few.mapInArrow(marks, "slice long, bits binary").groupBy("slice").applyInArrow(join_marks, "slice long, bits binary").collect():  # SLICES rows, 16 MB in all
-        seen[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return entries.select("key", "value").mapInArrow(packed, "shard long, keys binary, values binary"), tables, seen.reshape(-1)
+        seen |= np.uint8(255)
+    else:
+        few = entries.select("key").coalesce(1 + size // (4 * SHARD))  # 8 tasks at most, each of which sends the whole table
+        for r in few.mapInArrow(marks, "slice long, bits binary").groupBy("slice").applyInArrow(join_marks, "slice long, bits binary").collect():  # SLICES rows, 32 MB in all
+            seen[r["slice"]] = _unpress(r["bits"], np.uint8)
+    # dealt by shard once, before there are questions: those then meet it without another copy on disk
+    model = scratch.bucketed(entries.select("key", "value").mapInArrow(packed, "shard long, keys binary, values binary"), "shard", max(parts(texts.sparkSession), 2 * shards), "model")
+    del entries
+    scratch.drop(settled, others)
+    return model, tables, seen.reshape(-1)
 
 
 def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.ndarray, shards: int, columns: list[str], text_col: str, scratch: Scratch) -> DataFrame:
@@ -409,7 +461,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
     packed, with the document's number in its block; a shard joins them with its entries and returns sums by
     document, which the block adds up. Documents are read once and carry their columns; texts aren't shuffled.
     """
-    shared = scratch.share((tables, math.log(tables.unknown), seen))
+    shared = scratch.share((tables, math.log(tables.unknown), _Bits(seen)))
     kinds = [docs.schema[c].dataType.simpleString() for c in columns]
     lists = "".join(f", c{i} array<{k}>" for i, k in enumerate(kinds))
     names = [f"c{i}" for i in range(len(columns))]
@@ -418,6 +470,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
         import pyarrow as pa
 
         tab, unknown, bits = shared.value
+        bits = bits.bits
         for batch in batches:
             for part in _blocks(batch, 1):
                 number = part.column(0)[0].as_py()
@@ -449,23 +502,16 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
                 )
         tidy()
 
-    def answer(key, table):
+    def answer(key, table, entries):
         import pyarrow as pa
 
-        held, value, out = [np.zeros(0, np.uint64)], [np.zeros(0)], []
         if key[0].as_py() < 0:
             return table.select(["block", "keys", "docs", *names]).rename_columns(["block", "sums", "local", *names]).add_column(1, "docs", pa.nulls(table.num_rows, pa.binary()))
-        block = table.column("block").to_pylist()
-        for i, b in enumerate(block):
-            if b is None:
-                held.append(_unpack(table.column("keys")[i].as_buffer()))
-                value.append(_unpress(table.column("docs")[i].as_buffer(), np.float32))
-        held, value = np.concatenate(held), np.concatenate(value)
+        held = np.concatenate([np.zeros(0, np.uint64)] + [_unpack(x.as_buffer()) for x in entries.column("keys")])
+        value, out = np.concatenate([np.zeros(0)] + [_unpress(x.as_buffer(), np.float32) for x in entries.column("values")]), []
         order = np.argsort(held, kind="stable")
         held, value = np.append(held[order], np.uint64(2**64 - 1)), np.append(value[order], 0.0)  # an end that nothing passes
-        for i, b in enumerate(block):
-            if b is None:
-                continue
+        for i, b in enumerate(table.column("block").to_pylist()):
             k, d = _unpack(table.column("keys")[i].as_buffer()), _unpress(table.column("docs")[i].as_buffer(), np.uint16)
             at = np.searchsorted(held, k)
             hit = held[at] == k
@@ -492,9 +538,7 @@ def perplexities(docs: DataFrame, model: DataFrame, tables: Tables, seen: np.nda
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), text_col, *[F.col(c).alias(n) for c, n in zip(columns, names)])
     asked = numbered.mapInArrow(ask, f"shard long, block long, keys binary, docs binary{lists}")
-    none = [F.lit(None).cast(f"array<{k}>").alias(n) for k, n in zip(kinds, names)]
-    together = asked.unionByName(model.select("shard", F.lit(None).cast("long").alias("block"), "keys", F.col("values").alias("docs"), *none))
-    answers = together.groupBy("shard").applyInArrow(answer, f"block long, docs binary, sums binary, local binary{lists}")
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, f"block long, docs binary, sums binary, local binary{lists}")
     scores = answers.groupBy("block").applyInArrow(gather, "".join(f"c{i} {k}, " for i, k in enumerate(kinds)) + "n_words long, logp double")
     return scores.select(*[F.col(n).alias(c) for c, n in zip(columns, names)], "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("logp") / (F.col("n_words") + 1))).alias("perplexity"))
 
@@ -552,10 +596,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     size = scratch.save(texts.select("text"), "texts")
     shards = max(SLICES, -(-int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // DEAL))
     model, tables, seen = _trained(size, shards, scratch)
-    scratch.drop(size)
     scratch.release()
     scored = scratch.save(perplexities(docs, model, tables, seen, shards, [id_col, lang_col, *carry], text_col, scratch), "scores")
     scratch.unshare()
+    scratch.drop(model)
     del model, tables, seen
     scratch.release()
     step = F.floor(F.log("perplexity") * 100).alias("step")

@@ -395,6 +395,30 @@ def test_perplexity_is_the_same_with_few_numbered_words(spark, docs, monkeypatch
     assert _scores(spark, taught[::2], taught, shards=5) == pytest.approx(want)
 
 
+def test_perplexity_leaves_no_copies_on_disk(spark, docs, monkeypatch):
+    import pickle
+
+    taught = [r["text"] for r in docs.collect() if r["text"]]
+    scratch, there = perplexity.Scratch(spark, "t"), {}
+    save = perplexity.Scratch.save
+    monkeypatch.setattr(perplexity.Scratch, "save", lambda self, df, name, small=False: (there.update({name: {p.rsplit("-")[-1] for p in self.paths}}), save(self, df, name, small))[1])
+    teach = scratch.save(spark.createDataFrame([(t,) for t in taught], "text string"), "texts")
+    model, tables, seen = perplexity._trained(teach, 16, scratch)
+    # texts are gone once pairs are there, pairs before the rare ones are joined, entries before questions
+    assert "texts" in there["pairs"] and not any("texts" in v for k, v in there.items() if k in ("words", "rare", "others"))
+    assert "pairs" not in there["others"] and {p.rsplit("-")[-1] for p in scratch.paths} == {"model"}
+    # questions go to the model, which stays where it is
+    rows = spark.createDataFrame(list(enumerate(taught)), "doc_id long, text string")
+    plan = perplexity.perplexities(rows, model, tables, seen, 16, ["doc_id"], "text", scratch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(shard") == 1 and "Bucketed: true" in plan
+    # broadcasts are packed, as all executors keep a copy, and hold the same when unpacked
+    sent = pickle.dumps((tables, perplexity._Bits(seen)))
+    got, bits = pickle.loads(sent)
+    assert len(sent) < 1 << 20 and (bits.bits == seen).all() and len(got.values) > 300
+    for x, y in ((got.known.keys, tables.known.keys), (got.entries.keys, tables.entries.keys), (got.values, tables.values), (got.of_words, tables.of_words)):
+        assert np.array_equal(x, y, equal_nan=x.dtype.kind == "f")
+
+
 def test_among_moves_no_rows(spark, monkeypatch):
     from spindle.llm import bits
 
