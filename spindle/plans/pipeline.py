@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +14,33 @@ from spindle.operators import markup
 from spindle.plans.stages import CrawlConfig, create_resources, fetched
 
 
+#: Characters after which a piece of transformed pages is handed back.
+PIECE = 1 << 20
+
+
 def wrap_save_path(make) -> object:
     """[P4] A column builder (row's columns -> path) as a save-path hook; a null path drops the row."""
     return lambda df: df.withColumn("save_path", make(df))
 
 
 def html_transform(make) -> object:
-    """[X12] A function from page text to page text as a hook on bodies of HTML rows."""
-
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(make, na_action="ignore")
+    """[X12] A function from page text to page text as a hook on bodies of HTML rows.
+
+    Of a batch (10,000 pages or 64 MB in Spark) only one page and the results of ``PIECE`` characters are Python's own.
+    """
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            made, size = [], 0
+            for page in batch:
+                made.append(make(page.as_py()) if page.is_valid else None)
+                size += len(made[-1] or "")
+                if size >= PIECE:
+                    yield pa.array(made, pa.string())
+                    made, size = [], 0
+            if made:
+                yield pa.array(made, pa.string())
 
     return lambda df: df.withColumn("body", F.when(F.col("type") == fixed.HTML, run(F.col("body").cast("string"))).otherwise(F.col("body").cast("string")))
 

@@ -93,6 +93,28 @@ def test_job(spark):
         events.Job(spark, lambda: 1 / 0).start().wait()
 
 
+def test_transformed_pages_are_handed_back_in_pieces(spark):
+    class Made(str):
+        live = 0
+
+        def __new__(cls, text):
+            Made.live += 1
+            return str.__new__(cls, text)
+
+        def __del__(self):
+            Made.live -= 1
+
+    pages = spark.range(0, 40, 1, 1).select("id", F.when(F.col("id") % 8 < 7, F.concat("id", F.repeat(F.lit("é"), 1 << 18))).alias("body"), F.when(F.col("id") == 3, fixed.CSS).otherwise(fixed.HTML).alias("type"))
+    out = pipeline.html_transform(lambda page: Made(f"{Made.live} {page}"))(pages).collect()
+    assert [r["id"] for r in out if r["body"] is None] == [7, 15, 23, 31, 39] and out[3]["body"].startswith("3é")
+    made = [(r["id"], *r["body"].split(" ")) for r in out if r["body"] and r["id"] != 3]
+    assert all(text == f"{i}" + "é" * (1 << 18) for i, _, text in made) and len(made) == 34
+    assert max(int(live) for _, live, _ in made) < 6  # results that Python still held
+    few = pipeline.html_transform(lambda page: None if "3" in page else "")(pages)
+    assert [r["id"] for r in few.filter("body = ''").collect()] == [i for i in range(40) if i % 8 < 7 and "3" not in str(i)]
+    assert few.filter("id < 0").count() == 0
+
+
 def test_small_helpers():
     assert events.to_map(["a"]) == {"a": True} and events.to_map("ab", freeze=True) == {"a", "b"}
     assert events.import_default("json").dumps(1) == "1"
